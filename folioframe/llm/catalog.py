@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import op7_mix_sources
+from .pieces import op3_sentencepiece
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
 from .quality_rules import op8_quality_rules
 from .simhash import op2_simhash_near_dedup
@@ -12,6 +13,7 @@ from .sketch import op4_document_fingerprints
 def queries() -> dict:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_sentencepiece": op3_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
         "op7_mix_sources": op7_mix_sources,
         "op8_quality_rules": op8_quality_rules,
