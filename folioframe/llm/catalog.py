@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op6_language_id
 from .mixing import op7_mix_sources
 from .pieces import op3_sentencepiece
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
@@ -15,6 +16,7 @@ def queries() -> dict:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
         "op8_quality_rules": op8_quality_rules,
     }

@@ -3,9 +3,9 @@
 Fingerprints within ``radius`` bits agree exactly on one of ``radius + 1``
 blocks, so each distinct fingerprint goes to that many shards, named by block
 and value. A shard that holds more than ``SHARD`` fingerprints is divided
-again by blocks of the bits it does not share yet. Four such divisions leave
-13 free bits, so that no tree can hold more than 8,192 fingerprints however
-many copies there are. A BK-tree over each shard (children keyed by their
+again by blocks of the bits it does not share yet, until at most ``FREE`` bits
+are free: no tree can hold more than 2 ** 13 = 8,192 fingerprints however many
+copies there are. A BK-tree over each shard (children keyed by their
 distance to the parent) answers every member by following only the edges
 within the radius; all trees of a batch are built and searched level by level
 with NumPy. A shard returns a spanning forest of its links, so that groups of
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import saved, small_side, table
 from .components import components
 
-SEED, RADIUS, SHARD, DEPTH = 42, 2, 4096, 4
+SEED, RADIUS, SHARD, FREE = 42, 2, 4096, 13
 _STEP = 1 << 15
 
 
@@ -160,31 +160,25 @@ def _masked(mask) -> object:
     return F.col("fp").bitwiseAND(mask)
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD, depth: int = DEPTH) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS, limit: int = SHARD) -> DataFrame:
     """``(a, b)``: links that connect what lies within ``radius`` bits; ``nodes`` has ``(node, fp)``, fp distinct."""
-    masks = [(0, "0")]  # the bits that a shard shares, with the shard's path
-
     def divided(rows: DataFrame, levels: list[int]) -> tuple[DataFrame, list[int]]:
         pieces = {m: [m | x for x in _blocks(~m & (1 << 64) - 1, radius + 1)] for m in levels}
         choice = F.create_map(*[y for m, xs in pieces.items() for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in xs]))])
         out = rows.withColumn("mask", F.explode(F.element_at(choice, F.col("mask"))))
         return out.withColumn("shard", F.xxhash64("mask", _masked(F.col("mask")))), sorted({x for xs in pieces.values() for x in xs})
 
-    rows, levels = divided(nodes.select("node", "fp").withColumn("mask", F.lit(_signed(masks[0][0])).cast("long")), [0])
+    rows, levels = divided(nodes.select("node", "fp").withColumn("mask", F.lit(0).cast("long")), [0])
     done = []
-    for level in range(1, depth + 1):
-        if level == depth:
-            done.append(rows)
-            break
+    while max(64 - bin(m).count("1") for m in levels) > FREE:
         large = saved(rows.groupBy("shard").count().where(F.col("count") > limit).select("shard"), "large-shards")
         if large.isEmpty():
-            done.append(rows)
             break
         wide = small_side(large)
         done.append(rows.join(wide, "shard", "left_anti"))
         rows, levels = divided(rows.join(wide, "shard", "left_semi").drop("shard"), levels)
-    every = done[0]
-    for part in done[1:]:
+    every = rows
+    for part in done:
         every = every.unionByName(part)
     every = every.select("shard", "fp", "node")
     dealt = every.repartition("shard").sortWithinPartitions("shard", "node")
