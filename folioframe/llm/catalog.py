@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cotraining import op9_quality_classifier
 from .language import op6_language_id
 from .mixing import op7_mix_sources
 from .pieces import op3_sentencepiece
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
         "op8_quality_rules": op8_quality_rules,
+        "op9_quality_classifier": op9_quality_classifier,
     }
 
 
