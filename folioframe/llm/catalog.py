@@ -10,10 +10,12 @@ from .quality_rules import ORACLE as QUALITY_RULES_SQL
 from .quality_rules import op8_quality_rules
 from .simhash import op2_simhash_near_dedup
 from .sketch import op4_document_fingerprints
+from .url_rules import op1_url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_url_filters": op1_url_filters,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
