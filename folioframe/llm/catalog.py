@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .cotraining import op9_quality_classifier
+from .extraction import op5_html_extraction
 from .language import op6_language_id
 from .mixing import op7_mix_sources
 from .pieces import op3_sentencepiece
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_html_extraction": op5_html_extraction,
         "op6_language_id": op6_language_id,
         "op7_mix_sources": op7_mix_sources,
         "op8_quality_rules": op8_quality_rules,
