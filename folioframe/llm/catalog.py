@@ -5,6 +5,7 @@ from __future__ import annotations
 from .cotraining import op9_quality_classifier
 from .extraction import op5_html_extraction
 from .language import op6_language_id
+from .lines import op10_line_dedup
 from .mixing import op7_mix_sources
 from .pieces import op3_sentencepiece
 from .quality_rules import ORACLE as QUALITY_RULES_SQL
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op7_mix_sources": op7_mix_sources,
         "op8_quality_rules": op8_quality_rules,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
