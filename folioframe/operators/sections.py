@@ -110,7 +110,8 @@ def entry_sections(entries: DataFrame, pages: DataFrame, book: str = "doc_id") -
         book, "chapter_index", (F.row_number().over(order) - 1).alias("section_index"), "title", F.col("page").alias("start"),
         F.greatest(F.col("page"), F.coalesce(F.lead("page").over(order) - 1, F.col("page_end"))).alias("end"),
     )
-    own = pages.where("text <> ''").select(F.col(book).alias("_b"), "page_no", "text")
-    joined = every.join(own, (F.col(book) == F.col("_b")) & F.col("page_no").between(F.col("start"), F.col("end")), "left")
+    own = pages.where("text <> ''").select(book, F.col("page_no").cast("long").alias("page_no"), "text")
+    dealt = every.withColumn("page_no", F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long"))))
+    joined = dealt.join(own, [book, "page_no"], "left")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("page_no", "text")))), lambda x: x["text"]), "\n\n")
     return joined.groupBy(book, "chapter_index", "section_index", "title", F.col("start").alias("page_start")).agg(text.alias("text"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine
 from .keyword import top
@@ -45,6 +46,8 @@ def _nearest(rows: DataFrame, key: str, vector: str, asked: list, query_kind, ki
         matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = rows.sparkSession.sparkContext.broadcast((ids, matrix))
 
+    id_type = to_arrow_type(query_kind)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         for batch in batches:
@@ -61,7 +64,7 @@ def _nearest(rows: DataFrame, key: str, vector: str, asked: list, query_kind, ki
             row, query = np.nonzero(ranked >= bar)
             score = scores[row, query]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[q] for q in query.tolist()]), batch.column(0).take(pa.array(row)), pa.array(score, mask=np.isnan(score))], names=["query_id", "key", "score"]
+                [pa.array([ids[q] for q in query.tolist()], id_type), batch.column(0).take(pa.array(row)), pa.array(score, mask=np.isnan(score))], names=["query_id", "key", "score"]
             )
 
     schema = f"query_id {query_kind.simpleString()}, key {kind.simpleString()}, score double"
