@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table, tokenizer_path
 
@@ -283,7 +284,7 @@ def encoded(docs: DataFrame, text_col: str = "text", model: str | None = None, c
     kept = [f for f in docs.schema.fields if f.name not in (text_col, "ids", "decoded")]
     rest = docs.select(*[f.name for f in kept], text_col)
     names = [f.name for f in kept]
-    schema = type(docs.schema)(kept).add("ids", "array<int>").add("decoded", "string")
+    schema = T.StructType(kept).add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, checked)
