@@ -3,6 +3,7 @@
 Lines are normalised (lower case, single spaces). Equal ones are one line.
 Of the rest, lines whose SimHashes differ in at most ``RADIUS`` bits agree on
 ``BLOCKS - RADIUS`` of ``BLOCKS`` blocks; each choice of blocks is a key.
+Only long words enter a SimHash, for the common short ones make all lines alike.
 Within a key every line is held against two pivots, and then only against
 lines that these links have not connected with it, so that a key of many
 variants costs no more than its size. Links of lines whose edit similarity
@@ -23,10 +24,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, let, saved, small_side, table, words
+from .common import discard, let, saved, small_side, table
 from .components import components
 
 MIN_WORDS, RADIUS, BLOCKS, SIMILARITY = 5, 3, 5, 0.8
+#: Words of so many characters are counted in a SimHash, if a line has so many of them.
+LONG_WORD, LEAST_LONG = 5, 3
 #: Words summed in byte-wide counters at once; counters must stay below 128.
 CHUNK = 127
 _ONES = 0x0101010101010101
@@ -85,19 +88,38 @@ def simhash(hashes: Column) -> Column:
     return let(hashes, lambda a: F.when(F.size(a) <= CHUNK, let(_lanes(a), lambda s: _majority(s, F.size(a)))).otherwise(long_one(a)))
 
 
-def _lines(docs: DataFrame, text_col: str) -> DataFrame:
-    """Each counted line: ``_pos`` and ``_words``, with the other columns."""
-    rows = docs.select("*", F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line")).drop(text_col)
-    return rows.withColumn("_words", words(F.lower("_line"))).drop("_line").where(F.size("_words") >= MIN_WORDS)
+def _line_words(line: Column) -> Column:
+    """Lower-cased words of a line; single-character replacements and splits are cheaper than a pattern."""
+    text = F.lower(line)
+    for blank in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
-def _line_hash() -> Column:
-    return F.xxhash64(F.array_join("_words", " "))
+def _line_hash(tokens: Column) -> Column:
+    return F.xxhash64(F.array_join(tokens, " "))
 
 
-def _coded() -> Column:
+def _features(tokens: Column) -> Column:
+    """Hashes of the words that a SimHash counts: the long ones, for the short are nearly the same in all lines; all words of a line with few long ones."""
+    chosen = let(F.filter(tokens, lambda w: F.length(w) >= LONG_WORD), lambda x: F.when(F.size(x) >= LEAST_LONG, x).otherwise(tokens))
+    return F.transform(chosen, lambda w: F.xxhash64(w))
+
+
+def _lines(docs: DataFrame, text_col: str, found) -> DataFrame:
+    """``_pos`` and the fields of ``found(words)`` for each counted line, with the other columns; each line is split once."""
+    rest = [c for c in docs.columns if c != text_col]
+
+    def one(line: Column, at: Column) -> Column:
+        return let(_line_words(line), lambda w: F.when(F.size(w) >= MIN_WORDS, F.struct(at.alias("_pos"), found(w).alias("_found"))))
+
+    rows = docs.select(*rest, F.explode(F.array_compact(F.transform(F.split(text_col, "\n", -1), one))).alias("_r"))
+    return rows.select(*rest, "_r._pos", "_r._found.*")
+
+
+def _coded(tokens: Column) -> Column:
     """The words of a line as one character each, so that Levenshtein counts words."""
-    code = F.transform("_words", lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00), 4, "0"))
+    code = F.transform(tokens, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00), 4, "0"))
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
 
@@ -120,7 +142,9 @@ def _crossing(rows: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     a = open_.select("key", F.col("line").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
     b = open_.select("key", F.col("line").alias("b"), F.col("sim").alias("sim_b"), F.col("root").alias("root_b"))
     near = a.join(b, "key").where((F.col("root_a") < F.col("root_b")) & _close("sim_a", "sim_b", radius))
-    return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = saved(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-cross")
+    discard(named)
+    return near
 
 
 def candidates(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
@@ -150,8 +174,9 @@ def groups(docs: DataFrame, distinct: DataFrame, text_col: str, similarity: floa
     """``(node, root)`` of lines that are joined with others."""
     links, rows = candidates(distinct)
     wanted = saved(links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).distinct(), "line-wanted")
-    coded = _lines(docs.select(text_col), text_col).select(_line_hash().alias("line"), "_words").join(small_side(wanted, 2_000_000), "line", "left_semi")
-    codes = saved(coded.select("line", _coded().alias("code")).groupBy("line").agg(F.first("code").alias("code")), "line-codes")
+    every = _lines(docs.select(text_col), text_col, lambda w: F.struct(_line_hash(w).alias("line"), w.alias("_words")))
+    coded = every.select("line", "_words").join(small_side(wanted, 2_000_000), "line", "left_semi").select("line", _coded(F.col("_words")).alias("code"))
+    codes = saved(coded.groupBy("line").agg(F.first("code").alias("code")), "line-codes")
     sure = saved(_verified(links, codes, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
     within = rows.join(small_side(wanted, 2_000_000), "line", "left_semi")
@@ -168,8 +193,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mark = F.xxhash64(id_col, text_col)
     order = F.coalesce(F.col(id_col), F.lit(2**63 - 1))
     base = docs.select(order.cast("long").alias("_id"), mark.alias("_doc"), text_col)
-    found = _lines(base, text_col).select("_id", "_doc", "_pos", _line_hash().alias("line"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"))
-    seen = saved(found.select("_id", "_doc", "_pos", "line", simhash(F.col("_h")).alias("sim")), "lines")
+    seen = saved(_lines(base, text_col, lambda w: F.struct(_line_hash(w).alias("line"), simhash(_features(w)).alias("sim"))), "lines")
     distinct = saved(seen.groupBy("line", "sim").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")), "lines-distinct")
     roots = groups(base, distinct, text_col, similarity)
     named = distinct.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
