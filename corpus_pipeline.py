@@ -12,43 +12,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import language, lines, mixing, pieces, simhash
-from folioframe.llm.common import saved, shared_dir
+from folioframe.llm.common import masked, saved, shared_dir
 
 #: Words of a shingle, and the bits that two fingerprints may differ in, for near-duplicate documents.
 SHINGLE, RADIUS = 5, 2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without text or letters go."""
-    kept = language.identified(docs, language.learn(docs)).where(F.col("lang_pred") != language.UNKNOWN)
-    return kept.select(*docs.columns)
+    """Documents in one of the learned languages; those without text or letters go.
+
+    Null ids and labels are not learned from; repeated rows are judged alike.
+    """
+    inner, restored = masked(docs, ("doc_id", "text", "lang"))
+    return restored(language.identified(inner, language.learn(inner)).where(F.col("lang_pred") != language.UNKNOWN))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier document, or an earlier line, has already."""
-    out = lines.deduplicated(docs)
+    """All documents, without lines that an earlier document, or an earlier line, has already; ``n_chars`` follows.
+
+    A text that loses every line stays as an empty one; null stays null.
+    """
+    inner, restored = masked(docs, ("doc_id", "text", "n_chars"))
+    out = lines.deduplicated(inner)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return restored(out)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id, once."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"), shingle=SHINGLE, radius=RADIUS)
-    gone = saved(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: that of the smallest id.
+
+    Null ids come last; rows that repeat both id and text are one document;
+    texts without words are one group.
+    """
+    inner, restored = masked(docs, ("doc_id", "text"))
+    keyed = inner.withColumn("_key", F.xxhash64("doc_id", "text"))
+    groups = simhash.near_duplicates(keyed.select("_key", "text"), "_key", "text", SHINGLE, RADIUS)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    first = groups.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = saved(first.select(F.col("first._key").alias("_key")), "near-kept")
+    return restored(keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
-    sizes = saved(mixing.sized(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
-    rows = mixing.mixed(mixing.sized(docs), mixing.cuts(sizes))
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
-    return rows.where(F.col("times") > 0).withColumn("_copy", times).select(*docs.columns)
+    """Each document as often as the mix of sources takes it, up to three times.
+
+    Null is a source; texts without words weigh nothing and follow their hash.
+    """
+    inner, restored = masked(docs, ("doc_id", "text", "source"))
+    sizes = saved(mixing.sized(inner.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
+    rows = mixing.mixed(mixing.sized(inner), mixing.cuts(sizes)).where(F.col("times") > 0)
+    return restored(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and their decoding."""
+    """Token ids of every text and their decoding; null counts as empty."""
     out = pieces.encoded(docs.select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

@@ -72,6 +72,16 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def masked(docs: DataFrame, needed: tuple[str, ...]):
+    """``docs`` with all but the ``needed`` columns under neutral names, and a function that undoes it.
+
+    Operators may then add columns of any name without touching the input's.
+    """
+    names = [(c, c if c in needed else f"_c{i}") for i, c in enumerate(docs.columns)]
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names])
+    return inner, lambda out: out.select(*[F.col(n).alias(c) for c, n in names])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,8 +13,8 @@ copies cost no more than their size.
 
 Edge cases: null or empty text has fingerprint zero and is linked like any
 other; equal fingerprints are one node; an empty table gives an empty result;
-rows repeated under one id get the same component; a null id takes part, but
-names a component only if no other id does.
+rows repeated under one id get the same component; a fingerprint that only null
+ids have is not linked, and its component is null.
 """
 
 from __future__ import annotations
