@@ -25,6 +25,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node that hangs on none: each component is done."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    seen = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return seen.where((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)`` for every node on an edge; the root is its component's smallest node.
 
@@ -34,12 +41,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = saved(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
     )
-    seen = None
-    while True:
-        row = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
-        if row[0] == 0 or row == seen:
-            break
-        seen = row
+    while not _are_stars(now):
         after = saved(_stars(_stars(now, True), False), "edges")
         discard(now)
         now = after

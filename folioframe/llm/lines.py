@@ -4,9 +4,9 @@ Lines are normalised (lower case, single spaces). Equal ones are one line.
 Of the rest, lines whose SimHashes differ in at most ``RADIUS`` bits agree on
 ``BLOCKS - RADIUS`` of ``BLOCKS`` blocks; each choice of blocks is a key.
 Only long words enter a SimHash, for the common short ones make all lines alike.
-Within a key every line is held against two pivots, and then only against
-lines that these links have not connected with it, so that a key of many
-variants costs no more than its size. Links of lines whose edit similarity
+Within a key every SimHash is held against three pivots, and then only against
+those that these links have not connected with it, so that a key of many
+variants does not cost the square of its size. Links of lines whose edit similarity
 (over words) reaches ``SIMILARITY`` join them into groups; a group keeps the
 occurrence of the smallest document id, the first one there.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import discard, let, saved, small_side, table
 from .components import components
 
-MIN_WORDS, RADIUS, BLOCKS, SIMILARITY = 5, 3, 5, 0.8
+MIN_WORDS, RADIUS, BLOCKS, SIMILARITY = 5, 3, 6, 0.8
 #: Words of so many characters are counted in a SimHash, if a line has so many of them.
 LONG_WORD, LEAST_LONG = 5, 3
 #: Words summed in byte-wide counters at once; counters must stay below 128.
@@ -147,18 +147,33 @@ def _crossing(rows: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     return near
 
 
-def candidates(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` that connect all lines within the radius, and the rows ``(key, line, sim)`` of shared keys."""
+def _keyed(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
     masks = F.array(*[F.lit(m) for m in _masks(radius, blocks)])
-    keyed = distinct.select("line", "sim", F.explode(F.transform(masks, lambda m, i: F.xxhash64(i, F.col("sim").bitwiseAND(m)))).alias("key"))
+    return rows.select("line", "sim", "n", F.explode(F.transform(masks, lambda m, i: F.xxhash64(i, F.col("sim").bitwiseAND(m)))).alias("key"))
+
+
+def candidates(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` that connect all lines within the radius, and the keys that more than one SimHash has.
+
+    Lines of one SimHash hang on the smallest of them, which stands for all. Of
+    the SimHashes of a key all are held against the one with the most lines
+    and the two at the ends of the order.
+    """
+    sims = saved(distinct.groupBy("sim").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")), "line-sims")
+    equal = distinct.select("line", "sim").join(sims.where("n > 1").select("sim", F.col("line").alias("b")), "sim").where("line <> b").select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b"))
+    keyed = _keyed(sims, radius, blocks)
     shared = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "line-shared")
-    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "line", "sim"), "line-rows")
-    ends = rows.groupBy("key").agg(F.min("line").alias("p"), F.min_by("sim", "line").alias("sim_p"), F.max("line").alias("q"), F.max_by("sim", "line").alias("sim_q"))
-    held = rows.join(ends, "key").select("line", "sim", F.explode(F.array(F.struct(F.col("p").alias("b"), F.col("sim_p").alias("s")), F.struct(F.col("q").alias("b"), F.col("sim_q").alias("s")))).alias("e"))
-    star = held.select("line", "sim", F.col("e.b").alias("b"), F.col("e.s").alias("s")).where((F.col("line") != F.col("b")) & _close("sim", "s", radius))
-    star = saved(star.select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b")).distinct(), "line-star")
-    cross = _crossing(rows, components(star, "a", "b"), radius)
-    return saved(star.unionByName(cross).distinct(), "line-links"), rows
+    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi"), "line-rows")
+    heavy = [F.max_by(c, F.col("n") * 2.0 ** 20 - F.pmod("line", F.lit(1 << 20))).alias(f"{c}_0") for c in ("line", "sim")]
+    ends = [f(c, "line").alias(f"{c}_{k}") for k, f in ((1, F.min_by), (2, F.max_by)) for c in ("line", "sim")]
+    pivots = F.explode(F.array(*[F.struct(F.col(f"line_{k}").alias("b"), F.col(f"sim_{k}").alias("s")) for k in range(3)]))
+    held = rows.select("key", "line", "sim").join(rows.groupBy("key").agg(*heavy, *ends), "key").select("line", "sim", pivots.alias("e")).select("line", "sim", "e.*")
+    star = held.where((F.col("line") != F.col("b")) & _close("sim", "s", radius)).select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b"))
+    star = saved(star.distinct(), "line-star")
+    cross = _crossing(rows.select("key", "line", "sim"), components(star, "a", "b"), radius)
+    out = saved(star.unionByName(cross).unionByName(equal).distinct(), "line-links")
+    discard(rows)
+    return out, shared
 
 
 def _verified(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
@@ -170,20 +185,25 @@ def _verified(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFram
     return both.where(F.expr("levenshtein(code_a, code_b, _most) >= 0")).select("a", "b")
 
 
-def groups(docs: DataFrame, distinct: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, root)`` of lines that are joined with others."""
-    links, rows = candidates(distinct)
+def groups(docs: DataFrame, seen: DataFrame, distinct: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, root)`` of lines that are joined with others. Words are fetched for lines with a link alone, from one document each."""
+    links, shared = candidates(distinct)
     wanted = saved(links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).distinct(), "line-wanted")
-    every = _lines(docs.select(text_col), text_col, lambda w: F.struct(_line_hash(w).alias("line"), w.alias("_words")))
+    places = seen.select("line", "_doc").join(small_side(wanted, 2_000_000), "line", "left_semi").groupBy("line").agg(F.min("_doc").alias("_doc"))
+    places = saved(places.select("_doc").distinct(), "line-places")
+    holders = docs.select("_doc", text_col).join(small_side(places, 2_000_000), "_doc", "left_semi")
+    every = _lines(holders.select(text_col), text_col, lambda w: F.struct(_line_hash(w).alias("line"), w.alias("_words")))
     coded = every.select("line", "_words").join(small_side(wanted, 2_000_000), "line", "left_semi").select("line", _coded(F.col("_words")).alias("code"))
     codes = saved(coded.groupBy("line").agg(F.first("code").alias("code")), "line-codes")
     sure = saved(_verified(links, codes, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
-    within = rows.join(small_side(wanted, 2_000_000), "line", "left_semi")
+    linked = distinct.select("line", "sim", "n").join(small_side(wanted, 2_000_000), "line", "left_semi")
+    within = _keyed(linked, RADIUS, BLOCKS).join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "line", "sim")
+    within = within.unionByName(linked.select(F.xxhash64(F.lit(-1), "sim").alias("key"), "line", "sim"))
     more = saved(_verified(_crossing(within, roots, RADIUS), codes, similarity), "line-more")
     if not more.isEmpty():
         roots = saved(components(sure.unionByName(more), "a", "b"), "line-roots")
-    for old in (links, rows, codes):
+    for old in (links, codes):
         discard(old)
     return roots
 
@@ -195,7 +215,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(order.cast("long").alias("_id"), mark.alias("_doc"), text_col)
     seen = saved(_lines(base, text_col, lambda w: F.struct(_line_hash(w).alias("line"), simhash(_features(w)).alias("sim"))), "lines")
     distinct = saved(seen.groupBy("line", "sim").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")), "lines-distinct")
-    roots = groups(base, distinct, text_col, similarity)
+    roots = groups(base, seen, distinct, text_col, similarity)
     named = distinct.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     repeated = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("keeper")).where("n > 1").select("root", "keeper")
     repeated = saved(named.select("line", "root").join(repeated, "root"), "lines-repeated")
