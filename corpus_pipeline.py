@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import language, lines, mixing, pieces, simhash
-from folioframe.llm.common import masked, saved, shared_dir
+from folioframe.llm.common import masked, saved, shared_dir, small_side
 
 #: Words of a shingle, and the bits that two fingerprints may differ in, for near-duplicate documents.
 SHINGLE, RADIUS = 5, 2
@@ -48,10 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     inner, restored = masked(docs, ("doc_id", "text"))
     keyed = inner.withColumn("_key", F.xxhash64("doc_id", "text"))
     groups = simhash.near_duplicates(keyed.select("_key", "text"), "_key", "text", SHINGLE, RADIUS)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    first = groups.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(order).alias("first"))
-    kept = saved(first.select(F.col("first._key").alias("_key")), "near-kept")
-    return restored(keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]))
+    rows = saved(groups.join(keyed.select("_key", "doc_id").distinct(), "_key"), "near-groups")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    kept = first.select(F.col("first._key").alias("_key"))
+    gone = saved(rows.select("_key").distinct().join(kept, "_key", "left_anti"), "near-gone")
+    again = saved(rows.groupBy("_key").count().where("count > 1").select("_key").join(kept, "_key", "left_semi"), "near-again")
+    left = keyed.join(small_side(gone), "_key", "left_anti")  # texts are shuffled only beyond the broadcast bound
+    once, repeated = left.join(small_side(again), "_key", "left_anti"), left.join(small_side(again), "_key", "left_semi")
+    return restored(once.unionByName(repeated.dropDuplicates(["_key"])))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
