@@ -11,11 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import language, lines, mixing, pieces, simhash
+from folioframe.llm import language, lines, mixing, pieces, resemblance
 from folioframe.llm.common import masked, saved, shared_dir, small_side
 
-#: Words of a shingle, and the bits that two fingerprints may differ in, for near-duplicate documents.
-SHINGLE, RADIUS = 5, 2
+#: Words of a shingle, the bits that two fingerprints of candidates may differ in, and the resemblance of near-duplicate documents.
+SHINGLE, RADIUS, RESEMBLANCE = 5, 2, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,14 +40,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id.
+    """One document of each group of near-duplicates, linked by a resemblance of 0.8 or more: that of the smallest id.
 
     Null ids come last; rows that repeat both id and text are one document;
     texts without words are one group.
     """
     inner, restored = masked(docs, ("doc_id", "text"))
     keyed = inner.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = simhash.near_duplicates(keyed.select("_key", "text"), "_key", "text", SHINGLE, RADIUS)
+    groups = resemblance.near_duplicates(keyed.select("_key", "text"), "_key", "text", SHINGLE, RADIUS, RESEMBLANCE)
     rows = saved(groups.join(keyed.select("_key", "doc_id").distinct(), "_key"), "near-groups")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
     kept = first.select(F.col("first._key").alias("_key"))

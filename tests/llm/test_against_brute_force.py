@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from folioframe.llm import catalog, components, extraction, language, lines, mixing, pieces, quality_rules, simhash, sketch, url_rules
 from folioframe.llm.common import tokenizer_path
 
@@ -72,6 +73,24 @@ def test_divided_shards(spark, radius):
     assert got == want
 
 
+def test_near_dedup_stage_by_resemblance(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((12, 60, 300)))]
+        for edits in (0, 1, 1, len(base) // 60 + 1, len(base) // 20):
+            words = list(base)
+            for at in rng.sample(range(len(words)), edits):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += ["", " \n", texts[0].upper()]
+    grams = [{tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} if t.strip() else {0} for t in texts]
+    root = _union(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert got == sorted(set(root)) and len(got) < len(texts) - 40
+
+
 def test_sketches(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id", ascending=False)
     texts = docs.text.tolist()
