@@ -55,12 +55,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_saved_path", None)
-    if path:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_saved_path", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows of a few numbers each that may be broadcast: about 32 MB.
@@ -72,6 +73,21 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def looked_up(rows: DataFrame, side: DataFrame, keys: list[str], many: str) -> DataFrame:
+    """``rows`` joined with a saved table that has each key once and, as ``many``, the rows that have it.
+
+    The table is broadcast if it is small. Else its hot keys are: those that more
+    than a ten-thousandth of all rows have, which are 10,000 at most; the others
+    are dealt by key, none of them large.
+    """
+    if side.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(side), keys)
+    most = max(1_000, (side.agg(F.sum(many)).first()[0] or 0) // 10_000)
+    hot = F.broadcast(side.where(F.col(many) > most))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(side.where(F.col(many) <= most), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def masked(docs: DataFrame, needed: tuple[str, ...]):
     """``docs`` with all but the ``needed`` columns under neutral names, and a function that undoes it.
 

@@ -1,230 +1,254 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-Lines are normalised (lower case, single spaces). Equal ones are one line.
-Of the rest, lines whose SimHashes differ in at most ``RADIUS`` bits agree on
-``BLOCKS - RADIUS`` of ``BLOCKS`` blocks; each choice of blocks is a key.
-Only long words enter a SimHash, for the common short ones make all lines alike.
-Within a key every SimHash is held against three pivots, and then only against
-those that these links have not connected with it, so that a key of many
-variants does not cost the square of its size. Links of lines whose edit similarity
-(over words) reaches ``SIMILARITY`` join them into groups; a group keeps the
-occurrence of the smallest document id, the first one there.
-
-Edge cases: lines of fewer than ``MIN_WORDS`` words are never removed, nor
-counted; null text has no lines and stays null; a text that loses all its
-lines becomes empty; rows that repeat both id and text share one fate and
-count as one document; null ids come after all others; columns of the input
+Lines are normalised (lower case, single spaces). Equal ones are one line,
+whatever their length. Lines of an edit similarity of ``SIMILARITY`` or more
+over words differ in few words, but a SimHash of the whole line spreads each
+changed word over all of its bits, so that few blocks of it stay alike. The
+words are therefore dealt to parts first: they are put in an order that every
+line shares (long ones tend to come first, for they are rare; hashes decide),
+and every run of three among the first ``TOP`` is a part. The SimHashes of the
+parts are the blocks of the line's fingerprint. A changed word touches the
+blocks of its own parts alone, so that by pigeonhole some block stays equal;
+lines that agree on a block are candidates. Lines of up to ``PAIRED`` words
+have parts of two words.
+
+Within a block all lines are held against its two ends, and then only against
+those that these links have not connected with them. If that leaves many, the
+block is divided by the words that are rarest in it: lines that are alike share
+one of the rarest quarter of their words (prefix filtering, which loses none).
+Links of lines whose edit similarity reaches ``SIMILARITY`` join them into
+groups; a group keeps the occurrence of the smallest document id, the first
+one there.
+
+Words are told apart by 31 bits of a hash and lines by 64.
+
+Edge cases: empty lines are never removed; lines of fewer than five words only
+match equal ones (0.8 allows no edit there); null text has no lines and stays
+null; a text that loses all its lines becomes empty; rows that repeat both id
+and text share one fate; null ids come after all others; columns of the input
 are kept as they are.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, let, saved, small_side, table
+from .common import discard, let, looked_up, saved, small_side, table
 from .components import components
 
-MIN_WORDS, RADIUS, BLOCKS, SIMILARITY = 5, 3, 6, 0.8
-#: Words of so many characters are counted in a SimHash, if a line has so many of them.
-LONG_WORD, LEAST_LONG = 5, 3
-#: Words summed in byte-wide counters at once; counters must stay below 128.
-CHUNK = 127
-_ONES = 0x0101010101010101
-_LANES = range(8)
+SIMILARITY = 0.8
+#: Words that enter parts; longest line with parts of two words, and how many of its words enter them.
+TOP, PAIRED, PAIRED_TOP = 12, 12, 8
+#: Lines of a block outside its largest group that are held against all of the block; more of them divide it.
+OPEN = 64
+_WORD = 0x7FFFFFFF
+#: Code points that a word can stand for in Levenshtein.
+_PLANE = 1 << 20
 
 
-def _lanes(hashes: Column) -> Column:
-    """Eight longs of eight byte-wide counters: byte j of long k counts the hashes with bit 8 * j + k."""
-    zero = F.struct(*[F.lit(0).cast("long").alias(f"l{k}") for k in _LANES])
-    ones = F.lit(_ONES)
-    return F.aggregate(
-        hashes,
-        zero,
-        lambda s, h: F.struct(*[(s[f"l{k}"] + (F.shiftrightunsigned(h, k) if k else h).bitwiseAND(ones)).alias(f"l{k}") for k in _LANES]),
-    )
+def _line_words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " ", -1), "")
 
 
-def _majority(lanes: Column, n: Column) -> Column:
-    """The bits counted in over half of ``n`` (at most CHUNK) hashes.
+def _normalised(text: Column) -> Column:
+    """Lower case, and one kind of blank; single-character replacements are cheaper than a pattern."""
+    text = F.lower(text)
+    for blank in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return text
 
-    Adding 127 - n / 2 to each byte sets its top bit if so; the highest byte is
-    compared by itself, for the sum would overflow a long.
-    """
-    low = (1 << 56) - 1
-    lift = (F.lit(127) - F.floor(n / 2)).cast("long") * F.lit(_ONES & low)
-    out = F.lit(0).cast("long")
-    for k in _LANES:
-        lane = lanes[f"l{k}"]
-        seven = F.shiftrightunsigned(lane.bitwiseAND(F.lit(low)) + lift, 7).bitwiseAND(F.lit(_ONES & low))
-        top = F.when(F.shiftrightunsigned(lane, 56) * 2 > n, F.lit(1 << 56)).otherwise(F.lit(0).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(seven.bitwiseOR(top), k))
-    return out
 
+def _rank(word: Column) -> Column:
+    """The place of a word in the common order: a hash, scaled down for long words."""
+    size = F.least(F.length(word), F.lit(12))
+    return F.call_function("div", F.shiftrightunsigned(F.xxhash64(word), 1), size * size)
 
-def simhash(hashes: Column) -> Column:
-    """The 64-bit SimHash of an array of word hashes, of any length."""
 
-    def long_one(a: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(a), F.lit(CHUNK))
-        each = F.array_repeat(F.lit(0).cast("long"), 64)
+def _short(ranks: Column) -> Column:
+    return F.transform(ranks, lambda x: x.bitwiseAND(F.lit(_WORD)).cast("int"))
 
-        def add(sums: Column, start: Column) -> Column:
-            counted = let(
-                _lanes(F.slice(a, start, CHUNK)),
-                lambda s: let(
-                    F.array(*[s[f"l{k}"] for k in _LANES]),
-                    lambda l: F.transform(sums, lambda c, i: c + F.call_function("shiftright", F.get(l, F.pmod(i, F.lit(8))), F.floor(i / 8).cast("int") * 8).bitwiseAND(F.lit(255))),
-                ),
-            )
-            return counted
 
-        half = F.size(a) / 2
-        marks = F.transform(F.aggregate(starts, each, add), lambda c, i: F.when(c > half, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+def _least(similarity: float) -> int:
+    """Words of the shortest line that may differ from another."""
+    return math.ceil(1 / (1 - similarity) - 1e-9)
 
-    return let(hashes, lambda a: F.when(F.size(a) <= CHUNK, let(_lanes(a), lambda s: _majority(s, F.size(a)))).otherwise(long_one(a)))
 
+def _lines(docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """``_id, _doc, _pos, line, n, words, top`` of each line with words; ``words`` and ``top`` are empty where no edit is allowed."""
+    none = F.array().cast("array<int>")
 
-def _line_words(line: Column) -> Column:
-    """Lower-cased words of a line; single-character replacements and splits are cheaper than a pattern."""
-    text = F.lower(line)
-    for blank in "\t\x0b\f\r":
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(text, " ", -1), "")
+    def found(w: Column, at: Column) -> Column:
+        ranks = F.transform(w, _rank)
+        both = let(ranks, lambda r: F.struct(_short(r).alias("words"), _short(F.slice(F.array_distinct(F.sort_array(r)), 1, TOP)).alias("top")))
+        both = F.when(F.size(w) >= _least(similarity), both).otherwise(F.struct(none.alias("words"), none.alias("top")))
+        return F.when(F.size(w) > 0, F.struct(at.alias("_pos"), F.xxhash64(w).alias("line"), F.size(w).alias("n"), both.alias("_b")))
+
+    def one(line: Column, at: Column) -> Column:
+        return let(_line_words(line), lambda w: found(w, at))
 
+    rows = docs.select("_id", "_doc", F.explode(F.array_compact(F.transform(F.split(_normalised(F.col(text_col)), "\n", -1), one))).alias("_r"))
+    rows = rows.select("_id", "_doc", "_r._pos", "_r.line", "_r.n", "_r._b.*")
+    return rows.withColumn("_at", F.xxhash64("_doc", "_pos"))
 
-def _line_hash(tokens: Column) -> Column:
-    return F.xxhash64(F.array_join(tokens, " "))
 
+def part_simhash(*hashes: Column) -> Column:
+    """The SimHash of a part of up to three words: each bit that is set in over half of the hashes."""
+    if len(hashes) == 1:
+        return hashes[0]
+    if len(hashes) == 2:
+        return hashes[0].bitwiseAND(hashes[1])
+    a, b, c = hashes
+    return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
 
-def _features(tokens: Column) -> Column:
-    """Hashes of the words that a SimHash counts: the long ones, for the short are nearly the same in all lines; all words of a line with few long ones."""
-    chosen = let(F.filter(tokens, lambda w: F.length(w) >= LONG_WORD), lambda x: F.when(F.size(x) >= LEAST_LONG, x).otherwise(tokens))
-    return F.transform(chosen, lambda w: F.xxhash64(w))
 
+def _blocks(top: Column, n: Column, similarity: float = SIMILARITY) -> Column:
+    """The blocks of a line's fingerprint: a SimHash for each part, marked by the size of the part."""
 
-def _lines(docs: DataFrame, text_col: str, found) -> DataFrame:
-    """``_pos`` and the fields of ``found(words)`` for each counted line, with the other columns; each line is split once."""
-    rest = [c for c in docs.columns if c != text_col]
+    def runs(hashes: Column, size: int, most: int) -> Column:
+        # A line all of whose words are there is a ring, so that each word is in as many parts.
+        first = F.slice(hashes, 1, most)
+        ring = F.when(F.size(top) < most, F.concat(first, F.slice(first, 1, size - 1))).otherwise(first)
 
-    def one(line: Column, at: Column) -> Column:
-        return let(_line_words(line), lambda w: F.when(F.size(w) >= MIN_WORDS, F.struct(at.alias("_pos"), found(w).alias("_found"))))
+        def part(r: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.size(r) - size), lambda i: F.xxhash64(F.lit(size), part_simhash(*[F.get(r, i + k) for k in range(size)])))
 
-    rows = docs.select(*rest, F.explode(F.array_compact(F.transform(F.split(text_col, "\n", -1), one))).alias("_r"))
-    return rows.select(*rest, "_r._pos", "_r._found.*")
+        return let(ring, lambda r: F.when(F.size(r) >= size, part(r)).otherwise(F.array().cast("array<bigint>")))
 
+    def every(hashes: Column) -> Column:
+        none = F.array().cast("array<bigint>")
+        pairs = F.when(n <= PAIRED, runs(hashes, 2, PAIRED_TOP)).otherwise(none)
+        threes = F.when(n >= math.ceil((PAIRED + 1) * similarity - 1e-9), runs(hashes, 3, TOP)).otherwise(none)
+        singles = F.when(F.size(hashes) < 4, F.transform(hashes, lambda h: F.xxhash64(F.lit(1), h))).otherwise(none)
+        return F.array_distinct(F.concat(pairs, threes, singles))
 
-def _coded(tokens: Column) -> Column:
-    """The words of a line as one character each, so that Levenshtein counts words."""
-    code = F.transform(tokens, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(20_000)) + 0x4E00), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+    return let(F.transform(top, lambda w: F.xxhash64(w)), every)
 
 
-def _masks(radius: int, blocks: int) -> list[int]:
-    cut = [64 * k // blocks for k in range(blocks + 1)]
-    block = [(1 << cut[k + 1]) - (1 << cut[k]) for k in range(blocks)]
-    return [sum(x) - (1 << 64 if sum(x) >> 63 else 0) for x in combinations(block, blocks - radius)]
+def _coded(words: Column) -> Column:
+    """The words of a line as one character each, so that Levenshtein counts words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(w, F.lit(_PLANE)) + 0x10000), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def _close(a: str, b: str, radius: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+def _edits(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """The edits that lines of these lengths may have."""
+    return F.floor(F.greatest(n_a, n_b) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
 
 
-def _crossing(rows: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
-    """Pairs of one key within the radius that ``roots`` does not connect; keys that are one component are left out."""
-    named = rows.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    named = saved(named, "line-keys")
-    apart = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    open_ = named.join(apart, "key", "left_semi")
-    a = open_.select("key", F.col("line").alias("a"), F.col("sim").alias("sim_a"), F.col("root").alias("root_a"))
-    b = open_.select("key", F.col("line").alias("b"), F.col("sim").alias("sim_b"), F.col("root").alias("root_b"))
-    near = a.join(b, "key").where((F.col("root_a") < F.col("root_b")) & _close("sim_a", "sim_b", radius))
-    near = saved(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-cross")
-    discard(named)
-    return near
+def _verified(pairs: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose edit similarity over words is high enough.
 
+    Codes are narrower than words. They can only make lines more alike, so that
+    a link is checked: if two words of the pair share a code, the pair is coded
+    again by the places of its words.
+    """
+    a, b = (coded.select(F.col("line").alias(s), F.col("words").alias(f"w_{s}"), F.col("code").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("_most", _edits(F.col("n_a"), F.col("n_b"), similarity))
+    both = both.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("_most")).where(F.expr("levenshtein(c_a, c_b, _most) >= 0"))
+    distinct = let(F.concat("w_a", "w_b"), lambda w: F.size(F.array_distinct(w)) == F.size(F.array_distinct(F.transform(w, lambda x: F.pmod(x, F.lit(_PLANE))))))
+    places = let(F.array_distinct(F.concat("w_a", "w_b")), lambda d: F.struct(*[_coded(F.transform(F.col(f"w_{s}"), lambda x: F.array_position(d, x).cast("int"))).alias(s) for s in "ab"]))
+    exact = let(places, lambda p: F.call_function("levenshtein", p["a"], p["b"], F.col("_most")) >= 0)
+    return both.where(F.when(distinct, F.lit(True)).otherwise(exact)).select("a", "b")
 
-def _keyed(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
-    masks = F.array(*[F.lit(m) for m in _masks(radius, blocks)])
-    return rows.select("line", "sim", "n", F.explode(F.transform(masks, lambda m, i: F.xxhash64(i, F.col("sim").bitwiseAND(m)))).alias("key"))
 
+def _ordered(x: Column | str, y: Column | str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
-def candidates(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` that connect all lines within the radius, and the keys that more than one SimHash has.
 
-    Lines of one SimHash hang on the smallest of them, which stands for all. Of
-    the SimHashes of a key all are held against the one with the most lines
-    and the two at the ends of the order.
+def _divided(rows: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+    """The rows ``(key, line, root)`` of large blocks under finer keys: the rarest words that each line has there.
+
+    Alike lines miss at most as many of each other's words as edits are allowed,
+    which is n / 4 for a similarity of 0.8; so their first common word, rarest first, is
+    among the first n / 4 + 1 of both.
     """
-    sims = saved(distinct.groupBy("sim").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")), "line-sims")
-    equal = distinct.select("line", "sim").join(sims.where("n > 1").select("sim", F.col("line").alias("b")), "sim").where("line <> b").select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b"))
-    keyed = _keyed(sims, radius, blocks)
+    words = coded.select("line", "n", F.array_distinct("words").alias("words"))
+    each = saved(rows.join(words, "line").select("key", "line", "root", "n", F.explode("words").alias("word")), "line-words")
+    spread = saved(each.groupBy("key", "word").agg(F.count(F.lit(1)).alias("many")), "line-word-counts")
+    told = looked_up(each, spread, ["key", "word"], "many")
+    place = Window.partitionBy("key", "line").orderBy("many", "word")
+    first = told.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= F.floor(F.col("n") * ((1 - similarity) / similarity) + 1e-9) + 1)
+    return first.where("many > 1").select(F.xxhash64("key", "word").alias("key"), "line", "root")
+
+
+def _pairs(rows: DataFrame, main: bool) -> DataFrame:
+    """Pairs of one key and different roots, each once; with ``main``, of which one at least is not in the key's largest group."""
+    a = rows.select("key", F.col("line").alias("x"), F.col("root").alias("root_x"), *[F.col("main")] * main)
+    b = (rows.where("root <> main") if main else rows).select("key", F.col("line").alias("y"), F.col("root").alias("root_y"))
+    apart = (F.col("x") < F.col("y")) | (F.col("root_x") == F.col("main")) if main else F.col("x") < F.col("y")
+    return a.join(b, "key").where((F.col("root_x") != F.col("root_y")) & apart).select(*_ordered("x", "y"))
+
+
+def _crossing(rows: DataFrame, roots: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs of one block that ``roots`` does not connect; blocks that are one group are left out."""
+    named = rows.join(small_side(roots.select(F.col("node").alias("line"), "root")), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    named = saved(named.select("key", "line", "root"), "line-keys")
+    of = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    per = of.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("main"), F.sum("c").alias("many"), (F.sum("c") - F.max("c")).alias("rest")).where("roots > 1")
+    per = saved(per.select("key", "main", "many", "rest"), "line-open")
+    open_ = saved(looked_up(named, per, ["key"], "many"), "line-apart")
+    out = _pairs(open_.where(F.col("rest") <= OPEN), True)
+    large = open_.where(F.col("rest") > OPEN)
+    if not large.isEmpty():
+        out = out.unionByName(_pairs(_divided(large.select("key", "line", "root"), coded, similarity), False))
+    out = saved(out.distinct(), "line-cross")
+    discard(named, open_)
+    return out
+
+
+def candidates(first: DataFrame, similarity: float) -> DataFrame:
+    """``(key, line)`` of the blocks that more than one line has; ``first`` has one row for each line."""
+    keyed = first.select("line", F.explode(_blocks(F.col("top"), F.col("n"), similarity)).alias("key"))
     shared = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "line-shared")
-    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi"), "line-rows")
-    heavy = [F.max_by(c, F.col("n") * 2.0 ** 20 - F.pmod("line", F.lit(1 << 20))).alias(f"{c}_0") for c in ("line", "sim")]
-    ends = [f(c, "line").alias(f"{c}_{k}") for k, f in ((1, F.min_by), (2, F.max_by)) for c in ("line", "sim")]
-    pivots = F.explode(F.array(*[F.struct(F.col(f"line_{k}").alias("b"), F.col(f"sim_{k}").alias("s")) for k in range(3)]))
-    held = rows.select("key", "line", "sim").join(rows.groupBy("key").agg(*heavy, *ends), "key").select("line", "sim", pivots.alias("e")).select("line", "sim", "e.*")
-    star = held.where((F.col("line") != F.col("b")) & _close("sim", "s", radius)).select(F.greatest("line", "b").alias("a"), F.least("line", "b").alias("b"))
-    star = saved(star.distinct(), "line-star")
-    cross = _crossing(rows.select("key", "line", "sim"), components(star, "a", "b"), radius)
-    out = saved(star.unionByName(cross).unionByName(equal).distinct(), "line-links")
-    discard(rows)
-    return out, shared
-
-
-def _verified(pairs: DataFrame, codes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose edit similarity over words is high enough."""
-    both = pairs.join(codes.select(F.col("line").alias("a"), F.col("code").alias("code_a")), "a").join(codes.select(F.col("line").alias("b"), F.col("code").alias("code_b")), "b")
-    longest = F.greatest(F.length("code_a"), F.length("code_b"))
-    most = F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-    both = both.withColumn("_most", most).where(F.abs(F.length("code_a") - F.length("code_b")) <= F.col("_most"))
-    return both.where(F.expr("levenshtein(code_a, code_b, _most) >= 0")).select("a", "b")
-
-
-def groups(docs: DataFrame, seen: DataFrame, distinct: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, root)`` of lines that are joined with others. Words are fetched for lines with a link alone, from one document each."""
-    links, shared = candidates(distinct)
-    wanted = saved(links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).distinct(), "line-wanted")
-    places = seen.select("line", "_doc").join(small_side(wanted, 2_000_000), "line", "left_semi").groupBy("line").agg(F.min("_doc").alias("_doc"))
-    places = saved(places.select("_doc").distinct(), "line-places")
-    holders = docs.select("_doc", text_col).join(small_side(places, 2_000_000), "_doc", "left_semi")
-    every = _lines(holders.select(text_col), text_col, lambda w: F.struct(_line_hash(w).alias("line"), w.alias("_words")))
-    coded = every.select("line", "_words").join(small_side(wanted, 2_000_000), "line", "left_semi").select("line", _coded(F.col("_words")).alias("code"))
-    codes = saved(coded.groupBy("line").agg(F.first("code").alias("code")), "line-codes")
-    sure = saved(_verified(links, codes, similarity), "line-sure")
+    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "line").distinct(), "line-rows")
+    discard(shared)
+    return rows
+
+
+def groups(first: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``(node, root)`` of lines that are joined with others, and the words of all candidates."""
+    rows = candidates(first, similarity)
+    ends = saved(rows.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi"), "line-ends")
+    wanted = saved(rows.select("line").distinct(), "line-wanted")
+    coded = first.join(small_side(wanted), "line", "left_semi").dropDuplicates(["line"]).withColumn("code", _coded(F.col("words")))
+    coded = saved(coded.select("line", "_id", "n", "words", "code"), "line-codes")
+    held = looked_up(rows, ends, ["key"], "many").select("line", F.explode(F.array("lo", "hi")).alias("e")).where("line <> e")
+    star = saved(held.select(*_ordered("line", "e")).distinct(), "line-star")
+    sure = saved(_verified(star, coded, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
-    linked = distinct.select("line", "sim", "n").join(small_side(wanted, 2_000_000), "line", "left_semi")
-    within = _keyed(linked, RADIUS, BLOCKS).join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "line", "sim")
-    within = within.unionByName(linked.select(F.xxhash64(F.lit(-1), "sim").alias("key"), "line", "sim"))
-    more = saved(_verified(_crossing(within, roots, RADIUS), codes, similarity), "line-more")
+    more = saved(_verified(_crossing(rows, roots, coded, similarity), coded, similarity), "line-more")
     if not more.isEmpty():
         roots = saved(components(sure.unionByName(more), "a", "b"), "line-roots")
-    for old in (links, codes):
-        discard(old)
-    return roots
+    discard(rows, ends, star, sure)
+    return roots, coded.select("line", "_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and ``n_lines``, ``n_removed``."""
     mark = F.xxhash64(id_col, text_col)
     order = F.coalesce(F.col(id_col), F.lit(2**63 - 1))
-    base = docs.select(order.cast("long").alias("_id"), mark.alias("_doc"), text_col)
-    seen = saved(_lines(base, text_col, lambda w: F.struct(_line_hash(w).alias("line"), simhash(_features(w)).alias("sim"))), "lines")
-    distinct = saved(seen.groupBy("line", "sim").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first")), "lines-distinct")
-    roots = groups(base, seen, distinct, text_col, similarity)
-    named = distinct.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    repeated = named.groupBy("root").agg(F.sum("n").alias("n"), F.min("first").alias("keeper")).where("n > 1").select("root", "keeper")
-    repeated = saved(named.select("line", "root").join(repeated, "root"), "lines-repeated")
-    hits = saved(seen.select("_id", "_doc", "_pos", "line").join(repeated, "line"), "lines-hits")
+    seen = saved(_lines(docs.select(order.cast("long").alias("_id"), mark.alias("_doc"), text_col), text_col, similarity), "lines")
+    many = seen.groupBy("line").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("first"), F.min("_at").alias("at")).where("times > 1")
+    again = saved(many, "lines-again")
+    # One occurrence stands for each line; the others have nothing to add to the candidates.
+    standing = seen.where(F.size("words") > 0).join(small_side(again.select("line", "at")), "line", "left").where("at is null or at = _at").drop("at")
+    roots, known = groups(standing.select("line", "_id", "n", "words", "top"), similarity)
+    linked = roots.withColumnRenamed("node", "line").join(known, "line").join(again, "line", "left")
+    linked = linked.select("line", "root", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("first", "_id").alias("first"))
+    single = again.join(small_side(roots.select(F.col("node").alias("line"))), "line", "left_anti").select("line", F.col("line").alias("root"), "times", "first")
+    keepers = saved(linked.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many")), "lines-keepers")
+    linked = looked_up(linked, keepers, ["root"], "many").select("line", "root", "times", "keeper")
+    repeated = saved(linked.unionByName(single.withColumnRenamed("first", "keeper")), "lines-repeated")
+    hits = saved(looked_up(seen.select("_id", "_doc", "_pos", "line"), repeated, ["line"], "times").select("_id", "_doc", "_pos", "root", "keeper"), "lines-hits")
     keep = hits.where(F.col("_id") == F.col("keeper")).groupBy("root").agg(F.min(F.struct("_doc", "_pos")).alias("k")).select(F.col("k._doc").alias("_doc"), F.col("k._pos").alias("_pos"))
     gone = hits.select("_doc", "_pos").distinct().join(keep, ["_doc", "_pos"], "left_anti")
     gone = saved(gone.groupBy("_doc").agg(F.collect_list("_pos").alias("_gone")), "lines-gone")
-    many = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
-    out = docs.withColumn("_doc", mark).join(F.broadcast(gone) if many <= 2_000_000 else gone, "_doc", "left").drop("_doc")
+    discard(seen, again, repeated, hits)
+    count = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
+    out = docs.withColumn("_doc", mark).join(F.broadcast(gone) if count <= 2_000_000 else gone, "_doc", "left").drop("_doc")
     lines = F.split(text_col, "\n", -1)
     left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
     removed = F.coalesce(F.size("_gone"), F.lit(0))
