@@ -80,7 +80,8 @@ def cuts(rows: DataFrame, weights=WEIGHTS, cap: int = CAP, bits: int = BITS, lev
             ),
             "mix-level",
         )
-    return state.select("_key", "source_size", "target", "copies", F.shiftleft("prefix", HASH_BITS - bits * levels).alias("cut"))
+    cut = F.when(F.col("budget") > 0, F.shiftleft("prefix", HASH_BITS - bits * levels)).otherwise(F.lit(0).cast("long"))
+    return state.select("_key", "source_size", "target", "copies", cut.alias("cut"))
 
 
 def mixed(rows: DataFrame, found: DataFrame) -> DataFrame:
