@@ -1,14 +1,15 @@
 """Document fingerprints as threshold-scaled sketches of five-word shingles.
 
-Every shingle hash below a fixed fraction of the hash range is kept, so that
-sketches of any two texts are samples by the same rule: their overlap
-estimates containment however unequal the texts are, and the sketch of a
-union is the union of sketches. Where no hash is below the fraction the
-smallest one is kept, so that only a text without words has an empty sketch.
+Every shingle hash below a fixed fraction of the hash range is kept, and no
+other, so that sketches of any two texts are samples by the same rule: their
+overlap estimates containment however unequal the texts are, and the sketch of
+a union is the union of sketches. Beside it stand the number of shingles and a
+digest of them all, which tell texts apart that are too short to have a hash
+below the fraction; such texts are like equal ones alone.
 
 Edge cases: null counts as empty; texts of fewer than five words are one
-shingle; two empty sketches are alike (1), an empty and another are not (0);
-documents of equal id follow each other by text; a null id comes last.
+shingle; two texts without words are alike (1), one of them and another are
+not (0); documents of equal id follow each other by text; a null id comes last.
 """
 
 from __future__ import annotations
@@ -18,36 +19,34 @@ from pyspark.sql import functions as F
 
 from .common import let, saved, shingle_hashes, table, words
 
-SHINGLE, SCALE = 5, 8
+SHINGLE, SCALE = 5, 4
 _LOWEST = -(1 << 63)
+#: Ranges of text hashes that rows without an id are dealt to, by the top bits of the hash.
+_NULL_BITS = 8
 
 
 def sketch(text: Column, size: int = SHINGLE, scale: int = SCALE) -> Column:
-    """The kept hashes, distinct and in order."""
+    """``(n, digest, kept)``: how many shingles, a hash of them in order, the kept hashes, distinct and in order."""
     limit = F.lit(_LOWEST + (1 << 64) // scale)
     hashes = shingle_hashes(F.transform(words(text), lambda w: F.xxhash64(w)), size)
+    return let(hashes, lambda a: F.struct(F.size(a).alias("n"), F.xxhash64(a).alias("digest"), F.sort_array(F.array_distinct(F.filter(a, lambda h: h < limit))).alias("kept")))
 
-    def keep(all_hashes: Column) -> Column:
-        below = F.filter(all_hashes, lambda h: h < limit)
-        return let(below, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array_compact(F.array(F.array_min(all_hashes)))))
 
-    return F.sort_array(F.array_distinct(let(hashes, keep)))
-
-
-def fingerprint(kept: Column) -> Column:
-    """A sketch as text: hexadecimal hashes, comma-separated."""
-    return F.array_join(F.transform(kept, lambda h: F.lower(F.hex(h))), ",")
+def fingerprint(s: Column) -> Column:
+    """A sketch as text: the number of shingles, then the kept hashes in hexadecimal, or the digest where none is kept."""
+    kept = F.array_join(F.transform(s["kept"], lambda h: F.lower(F.hex(h))), ",")
+    return F.concat(s["n"].cast("string"), F.lit(":"), F.when((F.size(s["kept"]) == 0) & (s["n"] > 0), F.concat(F.lit("="), F.lower(F.hex(s["digest"])))).otherwise(kept))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller sketch that the larger one contains."""
-    least = F.least(F.size(a), F.size(b))
-    share = F.size(F.array_intersect(a, b)) / F.greatest(least, F.lit(1)).cast("double")
-    return F.when(least > 0, share).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
+    """The share of the smaller sketch that the larger one contains; where one is empty, whether the shingles are the same."""
+    least = F.least(F.size(a["kept"]), F.size(b["kept"]))
+    share = F.size(F.array_intersect(a["kept"], b["kept"])) / F.greatest(least, F.lit(1)).cast("double")
+    return F.when(least > 0, share).otherwise(((a["n"] == b["n"]) & (a["digest"] == b["digest"])).cast("double"))
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
+    """The kept hashes of two texts' shingles together, from those of each."""
     return F.sort_array(F.array_union(a, b))
 
 
@@ -69,31 +68,31 @@ def _bucket(id_col: Column, bounds: list[int]) -> Column:
     return F.lit(len(bounds)) - F.coalesce(found, F.lit(0))
 
 
-def with_next(docs: DataFrame, id_col: str, carry: list[str], spread: int = 4) -> DataFrame:
-    """Adds ``next_<c>``: the values of the following row in descending id order; the first row follows the last.
+def with_next(docs: DataFrame, id_col: str, text_col: str, derive, carry: list[str], spread: int = 4) -> DataFrame:
+    """``derive(docs)`` with ``next_<c>``: the values of the following row in descending id order; the first row follows the last.
 
-    Rows are dealt by id ranges (quantiles of the ids), so that only the range
-    edges look outside their own range; there is one edge row per range.
+    Rows are dealt by id ranges (quantiles of the ids), rows without an id by
+    ranges of their text's hash, so that only the range edges look outside their
+    own range. There is one edge row per range; it is found by its id alone, and
+    what ``derive`` adds is made for edge rows and for each row once.
     """
     parts = spread * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = [k / parts for k in range(1, parts)]
     bounds = sorted(set(docs.select(id_col).dropna().stat.approxQuantile(id_col, share, 0.25 / parts))) if share else []
-    dealt = docs.withColumn("_bucket", _bucket(F.col(id_col), [int(x) for x in bounds]))
-    order = [F.col(id_col).desc_nulls_last(), *[F.xxhash64(c) for c in carry[:1]]]
-    here = Window.partitionBy("_bucket").orderBy(*order)
-    top = dealt.groupBy("_bucket").agg(F.max(id_col).alias("_top"))
-    heads = (
-        dealt.select("_bucket", id_col, *carry)
-        .join(F.broadcast(top), "_bucket")  # one row for each range
-        .where(F.col(id_col).eqNullSafe(F.col("_top")))
-        .withColumn("_n", F.row_number().over(here))
-        .where("_n = 1")
-    )
+    by_text = F.xxhash64(text_col)
+    unnamed = F.lit(len(bounds) + 1 + (1 << _NULL_BITS - 1)) + F.shiftright(by_text, 64 - _NULL_BITS).cast("int")
+    bucket = F.when(F.col(id_col).isNull(), unnamed).otherwise(_bucket(F.col(id_col), [int(x) for x in bounds]))
+    dealt = docs.withColumn("_bucket", bucket)
+    here = Window.partitionBy("_bucket").orderBy(F.col(id_col).desc_nulls_last(), by_text)
+    top = F.broadcast(saved(dealt.groupBy("_bucket").agg(F.max(id_col).alias("_top")), "tops"))  # one row for each range
+    at_top = dealt.join(top, "_bucket").where(F.col(id_col).eqNullSafe(F.col("_top"))).drop("_top")
+    lowest = saved(at_top.groupBy("_bucket").agg(F.min(by_text).alias("_least")), "tops")
+    heads = derive(at_top.join(F.broadcast(lowest), "_bucket").where(by_text == F.col("_least")).dropDuplicates(["_bucket"]))
     heads = saved(heads.select("_bucket", *carry), "heads")
     ring = Window.orderBy("_bucket")  # over one row for each range
     follows = heads.select("_bucket", F.coalesce(F.lead("_bucket").over(ring), F.min("_bucket").over(Window.partitionBy())).alias("_then"))
     after = follows.join(heads.select(F.col("_bucket").alias("_then"), *[F.col(c).alias(f"_edge_{c}") for c in carry]), "_then").drop("_then")
-    led = dealt.withColumn("_more", F.lead(F.lit(True)).over(here)).withColumns({f"_lead_{c}": F.lead(c).over(here) for c in carry})
+    led = derive(dealt).withColumn("_more", F.lead(F.lit(True)).over(here)).withColumns({f"_lead_{c}": F.lead(c).over(here) for c in carry})
     out = led.join(after.hint("merge"), "_bucket", "left")
     out = out.withColumns({f"next_{c}": F.when(F.col("_more"), F.col(f"_lead_{c}")).otherwise(F.col(f"_edge_{c}")) for c in carry})
     return out.drop("_bucket", "_more", *[f"_lead_{c}" for c in carry], *[f"_edge_{c}" for c in carry])
@@ -102,7 +101,7 @@ def with_next(docs: DataFrame, id_col: str, carry: list[str], spread: int = 4) -
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sketch", sketch(F.col("text"))), "doc_id", ["text", "sketch"])
+    rows = with_next(docs, "doc_id", "text", lambda d: d.withColumn("sketch", sketch(F.col("text"))), ["text", "sketch"])
     n = F.length("text").cast("long")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n - cut).cast("int")), F.substring("next_text", F.lit(1), cut))

@@ -109,11 +109,49 @@ def sketch_rows(spark):
 
 
 def test_sketches_merge(spark):
-    row = spark.range(1).select(
-        sketch.merge(sketch.sketch(F.lit("a b c d e f")), sketch.sketch(F.lit("u v w x y z"))).alias("m"), sketch.sketch(F.lit("a b c d e f")).alias("a"), sketch.sketch(F.lit("u v w x y z")).alias("b")
-    )
-    r = row.first()
-    assert set(r.m) == set(r.a) | set(r.b)
+    texts = ["a b c d e f g h i j k l m", "u v w x y z a b c d e f", "one two", "", "nine words that are too few for a hash"]
+    rows = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    for r in rows.select(sketch.merge(sketch.sketch(F.col("x"))["kept"], sketch.sketch(F.col("y"))["kept"]).alias("m"), *[sketch.sketch(F.col(c)).alias(c) for c in "xy"]).collect():
+        assert r.m == sorted({*r.x.kept, *r.y.kept})
+
+
+def test_sketches_by_hand(spark):
+    """Fingerprints and likeness of short and long texts against plain versions; hashes are Spark's own."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(n)) for n in (0, 1, 3, 5, 6, 9, 30, 200)] + ["w1 w2", "w2 w1", "one two three four five six seven"]
+    pairs = [(x, y) for x in texts for y in texts]
+    shingled = lambda t: [w[i : i + 5] for w in [t.split()] for i in range(max(1, len(w) - 4))] if t else []
+    all_shingles = sorted({tuple(s) for t in texts for s in shingled(t)})
+    hashed = spark.createDataFrame([(list(s),) for s in all_shingles], "s array<string>").select("s", F.xxhash64(F.transform("s", lambda w: F.xxhash64(w))).alias("h")).collect()
+    of = {tuple(r.s): r.h for r in hashed}
+    kept = lambda t: sorted({h for h in (of[tuple(s)] for s in shingled(t)) if h < -(1 << 63) + (1 << 62)})
+    rows = spark.createDataFrame(pairs, "x string, y string").select("x", "y", sketch.containment(sketch.sketch(F.col("x")), sketch.sketch(F.col("y"))).alias("c"), sketch.fingerprint(sketch.sketch(F.col("x"))).alias("f")).collect()
+    for r in rows:
+        a, b = kept(r.x), kept(r.y)
+        want = len({*a} & {*b}) / min(len(a), len(b)) if a and b else float(shingled(r.x) == shingled(r.y))
+        assert r.c == pytest.approx(want)
+        n, rest = r.f.split(":")
+        assert int(n) == len(shingled(r.x)) and (rest == ",".join(f"{h & (1 << 64) - 1:x}" for h in a) if a or not int(n) else rest[0] == "=")
+
+
+def test_short_texts_in_long_ones(spark):
+    """A wholly contained text that has a kept hash is found, however unequal the two are."""
+    rng = random.Random(4)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(20_000)]
+    parts = [" ".join(long[k : k + 40]) for k in range(0, 4000, 40)]
+    rows = spark.createDataFrame([(p, " ".join(long)) for p in parts], "x string, y string")
+    got = [r.c for r in rows.select(sketch.containment(sketch.sketch(F.col("x")), sketch.sketch(F.col("y"))).alias("c")).collect()]
+    assert got == [1.0] * len(parts)
+
+
+def test_next_rows_without_ids(spark):
+    rows = [(k if k % 3 else None, f"text {k}") for k in range(60)] + [(5, "text 5"), (None, "text 0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = sketch.with_next(docs, "doc_id", "text", lambda d: d.withColumn("size", F.length("text")), ["text", "size"]).collect()
+    assert len(out) == len(rows) and all(r.next_size == len(r.next_text) for r in out)
+    assert sorted(r.text for r in out) == sorted(r.next_text for r in out)  # a ring
+    named = sorted({(r.doc_id, r.next_text) for r in out if r.doc_id is not None and r.doc_id not in (1, 5, 7)})
+    assert named == [(k, f"text {k - 1 if (k - 1) % 3 else k - 2}") for k in range(60) if k % 3 and k not in (1, 5, 7)]
 
 
 def test_pieces():
