@@ -1,11 +1,15 @@
 """Language identification by cross-parsing.
 
-Each language's sample of labelled text becomes a suffix automaton. A text is
+Each language's sample of labelled texts becomes a suffix automaton. A text is
 parsed into phrases, each the longest match of the rest of the text in the
 automaton; a phrase counts as the bits of a pointer into the sample, and the
 language with the fewest bits wins. Parsing runs in lockstep over segments of
 all texts of a batch, through one table of transitions per language.
 
+The commonest letters of the samples are a symbol each; any other letter is
+spelled by the hexadecimal digits of its code point, so that no two letters
+are alike in any script.
+
 Edge cases: a null text, or one without a letter, is ``und`` with score 0;
 ties go to the first language in code-point order; with no labelled text
 every document is ``und``; a long text is cut into segments, all of which
@@ -18,20 +22,27 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-#: The sample: documents for each language, characters of each, characters for each language after reduction to
-#: letters and single spaces. An automaton has at most twice as many states as characters, so 16 bits name a state.
-SAMPLE_DOCS, SAMPLE_CHARS, MODEL_CHARS = 100, 4_000, 30_000
-#: Symbols: padding, space, characters of no sample, then the commonest characters of the samples.
-PAD, GAP, OTHER, SYMBOLS = 0, 1, 2, 96
+#: The sample of each language: of the ``SAMPLE_DOCS`` labelled documents whose ids have the lowest hashes, in this
+#: order, each that still fits whole into ``MODEL_CHARS`` symbols. No text is cut.
+SAMPLE_DOCS, MODEL_CHARS = 200, 40_000
+#: Symbols: padding, space, sixteen digits that spell rare letters, then the commonest letters of the samples.
+PAD, GAP, DIGITS, SYMBOLS = 0, 1, 2, 96
+FIRST_LETTER = DIGITS + 16
 SEGMENT, LANES = 256, 32_768
 UNKNOWN = "und"
-LETTER = regex.compile(r"\p{L}")
+
+
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def _has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -73,7 +84,7 @@ def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _table(text: np.ndarray) -> np.ndarray:
-    """For each state and symbol: the state after it, with the phrases that end there in the upper half."""
+    """For each state and symbol: the state after it, with the phrases that end there in the top two bits."""
     go, _ = suffix_automaton(text)
     root, none = go[0].copy(), go < 0
     ended = none.astype(np.uint32)  # the phrase so far ends; the symbol begins a new one
@@ -81,40 +92,52 @@ def _table(text: np.ndarray) -> np.ndarray:
     ended[0] = root < 0
     after = np.where(none, np.maximum(root, 0), go).astype(np.uint32)
     ended[:, PAD], ended[0, PAD], after[:, PAD] = 1, 0, 0
-    return (after | ended << 16).reshape(-1)
+    return (after | ended << 30).reshape(-1)
 
 
 class Model:
-    """Tables by language. Learned from (language, text) pairs, a bounded sample."""
+    """Tables by language. Learned from (language, text) pairs in the order in which they may enter the samples."""
 
     def __init__(self, sample: Iterable[tuple[str, str]], chars: int = MODEL_CHARS):
         texts: dict[str, list[np.ndarray]] = {}
         for lang, text in sample:
             texts.setdefault(lang, []).append(_codes(text + " "))
         every = np.concatenate([x for part in texts.values() for x in part]) if texts else np.zeros(0, np.uint32)
-        seen, counts = np.unique(every, return_counts=True)
-        common = sorted((c for c in zip(-counts, seen, strict=True) if LETTER.match(chr(c[1]))), key=lambda c: (c[0], c[1]))[: SYMBOLS - OTHER - 1]
-        self.symbol = np.full(0x110000, GAP, np.uint8)
-        letters = np.array([c for c in seen.tolist() if LETTER.match(chr(c))], np.int64)
-        self.symbol[0x80:] = OTHER
-        self.symbol[[c for c in range(0x80, 0x3000) if not LETTER.match(chr(c))]] = GAP
-        self.symbol[[c for c in range(0x80) if chr(c).isalpha()]] = OTHER
-        self.symbol[letters] = OTHER
-        for k, (_, code) in enumerate(common):
-            self.symbol[code] = OTHER + 1 + k
-        self.langs, self.tables, self.bits = sorted(texts), [], []
-        for lang in self.langs:
-            text = self.reduce(np.concatenate(texts[lang]))[:chars]
-            self.tables.append(_table(text))
-            self.bits.append(np.log2(len(text) + 2))
+        self.letter = _is_letter()
+        seen, counts = np.unique(every[self.letter[every]], return_counts=True)
+        common = seen[np.lexsort((seen, -counts))][: SYMBOLS - FIRST_LETTER]
+        self.symbol = np.where(self.letter, PAD, GAP).astype(np.uint8)  # PAD: a letter to be spelled
+        self.symbol[common] = FIRST_LETTER + np.arange(len(common))
+        self.langs, self.tables, self.bits = [], [], []
+        for lang in sorted(texts):
+            taken, room = [], chars
+            for text in map(self.reduce, texts[lang]):
+                if len(text) <= room:
+                    taken.append(text)
+                    room -= len(text)
+            whole = np.concatenate(taken) if taken else np.zeros(0, np.uint8)
+            if len(whole):
+                self.langs.append(lang)
+                self.tables.append(_table(whole))
+                self.bits.append(np.log2(len(whole) + 2))
 
     def reduce(self, codes: np.ndarray) -> np.ndarray:
-        """Symbols of a text, runs of what is no letter being one space."""
+        """Symbols of a text, runs of what is no letter being one space and rare letters spelled."""
         found = self.symbol[codes]
         gap = found == GAP
         gap[1:] &= gap[:-1].copy()
         gap[:1] = False
-        return found[~gap]
+        found, codes = found[~gap], codes[~gap]
+        rare = found == PAD
+        if not rare.any():
+            return found
+        size = np.where(rare, np.where(codes < 0x10000, 4, 6), 1)
+        end = np.cumsum(size)
+        out = np.repeat(found, size)
+        digit = np.repeat(end, size) - 1 - np.arange(len(out))  # how many digits follow
+        spelled = out == PAD
+        out[spelled] = DIGITS + (np.repeat(codes, size)[spelled] >> (4 * digit[spelled]).astype(np.uint32) & 15)
+        return out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """How many phrases each text needs in each language."""
@@ -136,8 +159,8 @@ class Model:
                     state *= SYMBOLS
                     state += row
                     move = moves.take(state)
-                    state = move & 0xFFFF
-                    move >>= 16
+                    state = move & 0x3FFFFFFF
+                    move >>= 30
                     total += move
                 total += state != 0
             out[:, k] = np.add.reduceat(ended, begin)
@@ -145,7 +168,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [k for k, text in enumerate(texts) if text and self.langs and LETTER.search(text)]
+        known = [k for k, text in enumerate(texts) if text and self.langs and _has_letter(text)]
         start = 0
         while start < len(known):  # about two million characters at once
             stop, chars = start, 0
@@ -175,8 +198,10 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", sa
     order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
     ranked = docs.where(usable).select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_docs)
     picked = ranked.select(id_col).distinct()  # at most sample_docs rows for each language
-    rows = docs.where(usable).join(F.broadcast(picked), id_col, "left_semi").select(id_col, lang_col, F.substring(text_col, 1, SAMPLE_CHARS).alias("t")).where("t is not null")
-    return Model((r[1], r[2]) for r in sorted(rows.collect()))
+    # A text that no sample has room for is not fetched; one with fewer letters than that, but more characters, neither.
+    fits = F.when(F.length(text_col) <= MODEL_CHARS, F.col(text_col))
+    rows = docs.where(usable).join(F.broadcast(picked), id_col, "left_semi").select(F.xxhash64(id_col), id_col, lang_col, fits.alias("t")).where("t is not null")
+    return Model((r[2], r[3]) for r in sorted(rows.collect()))
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

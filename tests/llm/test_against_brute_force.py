@@ -1,8 +1,11 @@
 """Operators against plain versions of what they compute."""
 
+import collections
 import hashlib
+import math
 import os
 import random
+import re
 import struct
 
 import duckdb
@@ -170,23 +173,55 @@ def test_pieces():
         assert vocabulary.merge_many([part])[0] == struct.pack(f"<{len(want)}i", *want)
 
 
+def _phrases(text, source):
+    at, phrases = 0, 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in source:
+            size += 1
+        at, phrases = at + size, phrases + 1
+    return phrases
+
+
+def _spelled(text, common):
+    """Symbols as characters: common letters, one space for other characters, digits for rare letters."""
+    out = ""
+    for c in text.lower():
+        out += c if c in common else " " if not c.isalpha() else "".join(chr(0xE000 + int(d, 16)) for d in f"{ord(c):0{4 if ord(c) < 0x10000 else 6}x}")
+    return re.sub(" +", " ", out)
+
+
 def test_cross_parsing():
     rng = random.Random(2)
-    sample = [("aa", "".join(rng.choice("abcde ") for _ in range(600))), ("bb", "".join(rng.choice("cdefgh ") for _ in range(600)))]
-    model = language.Model(sample, chars=500)
-    texts = ["".join(rng.choice("abcdefghxyz ") for _ in range(n)) for n in (1, 7, 90, 250)]
-    reduced = [model.reduce(language._codes(t)) for t in texts]
-    got = model.phrases(reduced)
-    for k, lang in enumerate(model.langs):
-        source = bytes(model.reduce(language._codes(dict(sample)[lang] + " "))[:500])
-        for codes, n in zip(reduced, got[:, k], strict=True):
-            text, at, phrases = bytes(codes), 0, 0
-            while at < len(text):
-                size = 1
-                while at + size < len(text) and text[at : at + size + 1] in source:
-                    size += 1
-                at, phrases = at + size, phrases + 1
-            assert n == phrases
+    letters = {"aa": "abcde é", "bb": "cdefgh ", "cc": "".join(chr(0x4E00 + k) for k in range(300)) + "。", "dd": "".join(chr(0x4E00 + k) for k in range(200, 500)) + chr(0x20000)}
+    sample = [(lang, "".join(rng.choice(a) for _ in range(n))) for lang, a in letters.items() for n in (150, 700, 90, 60)]
+    model = language.Model(sample, chars=1200)
+    counts = collections.Counter(c for _, t in sample for c in t.lower() if c.isalpha())
+    common = {c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language.SYMBOLS - language.FIRST_LETTER]}
+    source = {}
+    for lang, text in sample:
+        text = _spelled(text + " ", common)
+        if len(source.get(lang, "")) + len(text) <= 1200:  # whole texts only
+            source[lang] = source.get(lang, "") + text
+    assert model.langs == sorted(source) and any(len(_spelled(t, common)) > 1200 for _, t in sample)
+    texts = ["".join(rng.choice("".join(letters.values()) + "xyz12") for _ in range(n)) for n in (1, 7, 90, 250)] + [t[3:80] for _, t in sample]
+    texts = [t for t in texts if len(_spelled(t, common)) <= language.SEGMENT and any(map(str.isalpha, t))]
+    got = model.phrases([model.reduce(language._codes(t)) for t in texts])
+    want = [[_phrases(_spelled(t, common), source[lang]) for lang in model.langs] for t in texts]
+    assert got.tolist() == want
+    langs, scores = model.predict([*texts, None, "", "12 。"])
+    for row, lang, score in zip(want, langs, scores, strict=False):
+        bits = [n * math.log2(len(source[x]) + 2) for n, x in zip(row, model.langs, strict=True)]
+        assert lang == model.langs[bits.index(min(bits))] and score == pytest.approx(1 / sum(2 ** max(-60, (min(bits) - b) / 4) for b in bits))
+    assert langs[len(texts) :] == ["und"] * 3 and scores[len(texts) :] == [0.0] * 3
+
+
+def test_language_ties_and_samples():
+    same = language.Model([("zz", "alpha beta"), ("yy", "alpha beta")])
+    assert same.predict(["alpha"])[0] == ["yy"]
+    assert language.Model([]).predict(["alpha"]) == (["und"], [0.0])
+    long = language.Model([("aa", "x" * 50), ("aa", "abc"), ("bb", "b")], chars=20)
+    assert long.langs == ["aa", "bb"] and long.bits[0] == math.log2(4 + 2)
 
 
 def test_language_accuracy(spark):
@@ -338,8 +373,6 @@ def test_line_recall_on_tables(spark):
 
 def _deduplicated_lines_by_prefix(texts):
     """As _deduplicated_lines; only lines that share a word of their rarest fifth, which all alike ones do, are compared."""
-    import collections
-
     places = [(k, at, tuple(line.lower().split())) for k, text in enumerate(texts) for at, line in enumerate(text.split("\n"))]
     kinds = sorted({w for _, _, w in places if w})
     many = collections.Counter(x for w in kinds for x in set(w))
