@@ -33,17 +33,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import OPEN, crossing, ends, rarest
 from .common import discard, let, looked_up, saved, small_side, table
 from .components import components
 
 SIMILARITY = 0.8
 #: Words that enter parts; longest line with parts of two words, and how many of its words enter them.
 TOP, PAIRED, PAIRED_TOP = 12, 12, 8
-#: Lines of a block outside its largest group that are held against all of the block; more of them divide it.
-OPEN = 64
 _WORD = 0x7FFFFFFF
 #: Code points that a word can stand for in Levenshtein.
 _PLANE = 1 << 20
@@ -154,49 +153,16 @@ def _verified(pairs: DataFrame, coded: DataFrame, similarity: float) -> DataFram
     return both.where(F.when(distinct, F.lit(True)).otherwise(exact)).select("a", "b")
 
 
-def _ordered(x: Column | str, y: Column | str) -> list[Column]:
-    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
-
-
 def _divided(rows: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
-    """The rows ``(key, line, root)`` of large blocks under finer keys: the rarest words that each line has there.
+    """The rows of large blocks under finer keys: the words that are rarest in the block.
 
-    Alike lines miss at most as many of each other's words as edits are allowed,
-    which is n / 4 for a similarity of 0.8; so their first common word, rarest first, is
-    among the first n / 4 + 1 of both.
+    A line misses as many of another's words as edits are allowed at most: a
+    quarter of its own words, if 0.8 of the longer one's have to be the same.
     """
-    words = coded.select("line", "n", F.array_distinct("words").alias("words"))
-    each = saved(rows.join(words, "line").select("key", "line", "root", "n", F.explode("words").alias("word")), "line-words")
-    spread = saved(each.groupBy("key", "word").agg(F.count(F.lit(1)).alias("many")), "line-word-counts")
-    told = looked_up(each, spread, ["key", "word"], "many")
-    place = Window.partitionBy("key", "line").orderBy("many", "word")
-    first = told.withColumn("_p", F.row_number().over(place)).where(F.col("_p") <= F.floor(F.col("n") * ((1 - similarity) / similarity) + 1e-9) + 1)
-    return first.where("many > 1").select(F.xxhash64("key", "word").alias("key"), "line", "root")
-
-
-def _pairs(rows: DataFrame, main: bool) -> DataFrame:
-    """Pairs of one key and different roots, each once; with ``main``, of which one at least is not in the key's largest group."""
-    a = rows.select("key", F.col("line").alias("x"), F.col("root").alias("root_x"), *[F.col("main")] * main)
-    b = (rows.where("root <> main") if main else rows).select("key", F.col("line").alias("y"), F.col("root").alias("root_y"))
-    apart = (F.col("x") < F.col("y")) | (F.col("root_x") == F.col("main")) if main else F.col("x") < F.col("y")
-    return a.join(b, "key").where((F.col("root_x") != F.col("root_y")) & apart).select(*_ordered("x", "y"))
-
-
-def _crossing(rows: DataFrame, roots: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs of one block that ``roots`` does not connect; blocks that are one group are left out."""
-    named = rows.join(small_side(roots.select(F.col("node").alias("line"), "root")), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    named = saved(named.select("key", "line", "root"), "line-keys")
-    of = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    per = of.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "c").alias("main"), F.sum("c").alias("many"), (F.sum("c") - F.max("c")).alias("rest")).where("roots > 1")
-    per = saved(per.select("key", "main", "many", "rest"), "line-open")
-    open_ = saved(looked_up(named, per, ["key"], "many"), "line-apart")
-    out = _pairs(open_.where(F.col("rest") <= OPEN), True)
-    large = open_.where(F.col("rest") > OPEN)
-    if not large.isEmpty():
-        out = out.unionByName(_pairs(_divided(large.select("key", "line", "root"), coded, similarity), False))
-    out = saved(out.distinct(), "line-cross")
-    discard(named, open_)
-    return out
+    words = coded.select(F.col("line").alias("node"), F.col("n").alias("size"), F.array_distinct("words").alias("words"))
+    each = rows.join(words, "node").select("key", "node", "root", "size", F.explode("words").alias("part"))
+    first = rarest(each, ["key"], (1 - similarity) / similarity, "line")
+    return first.select(F.xxhash64("key", "part").alias("key"), "node", "root")
 
 
 def candidates(first: DataFrame, similarity: float) -> DataFrame:
@@ -211,18 +177,17 @@ def candidates(first: DataFrame, similarity: float) -> DataFrame:
 def groups(first: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``(node, root)`` of lines that are joined with others, and the words of all candidates."""
     rows = candidates(first, similarity)
-    ends = saved(rows.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi"), "line-ends")
     wanted = saved(rows.select("line").distinct(), "line-wanted")
     coded = first.join(small_side(wanted), "line", "left_semi").dropDuplicates(["line"]).withColumn("code", _coded(F.col("words")))
     coded = saved(coded.select("line", "_id", "n", "words", "code"), "line-codes")
-    held = looked_up(rows, ends, ["key"], "many").select("line", F.explode(F.array("lo", "hi")).alias("e")).where("line <> e")
-    star = saved(held.select(*_ordered("line", "e")).distinct(), "line-star")
-    sure = saved(_verified(star, coded, similarity), "line-sure")
+    nodes = rows.withColumnRenamed("line", "node")
+    sure = saved(_verified(ends(nodes, "line"), coded, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
-    more = saved(_verified(_crossing(rows, roots, coded, similarity), coded, similarity), "line-more")
+    more = crossing(nodes, roots, lambda large: _divided(large, coded, similarity), "line", OPEN)
+    more = saved(_verified(more, coded, similarity), "line-more")
     if not more.isEmpty():
         roots = saved(components(sure.unionByName(more), "a", "b"), "line-roots")
-    discard(rows, ends, star, sure)
+    discard(rows, wanted, sure, more)
     return roots, coded.select("line", "_id")
 
 

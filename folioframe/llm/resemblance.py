@@ -6,9 +6,11 @@ agree on one of ``BANDS`` keys of ``ROWS`` min-hashes each: of pairs with a
 resemblance of 0.8 a share of 1 - (1 - 0.8 ** 4) ** 20 = 0.99997 does, of more
 alike ones more. Links are candidates whose shingle sets have a resemblance of
 ``SIMILARITY`` or more, computed on the sets. Within a key all are held against
-the first and the last node, then against those that no link has connected with
-them: a group that these links connect does not cost the square of its size, one
-that shares keys but stays below ``SIMILARITY`` does.
+the first and the last node, then those that no link has connected are held
+against each other; if these are many, only those that share one of the fifth of
+their shingles which is rarest among them (prefix filtering, which loses no link):
+neither a large group of copies nor texts with a common passage cost the square
+of their number.
 
 Edge cases: texts without words are one node, null among them; texts of fewer
 words than a shingle are one shingle; A-Z are lower-cased.
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import OPEN, crossing, ends, ordered, rarest
 from .common import discard, saved, small_side
 from .components import components
 from .simhash import RADIUS, SEED, links
@@ -117,37 +120,35 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.where(F.col("same") + 1e-9 >= (F.size("set_a") + F.size("set_b") - F.col("same")) * similarity).select("a", "b")
 
 
-def _crossing(rows: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one key that ``roots`` does not connect."""
-    named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = saved(named, "near-keys")
-    apart = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    open_ = named.join(apart, "key", "left_semi")
-    a, b = (open_.select("key", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-    near = a.join(b, "key").where((F.col("root_a") < F.col("root_b")) & _sized("n_a", "n_b", similarity))
-    near = saved(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-cross")
-    discard(named)
-    return near
+def _sizes(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets have sizes that allow the resemblance."""
+    a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_sized("n_a", "n_b", similarity)).select("a", "b")
+
+
+def _divided(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Nodes of large blocks under finer keys: their shingles that are rarest among all such nodes."""
+    each = large.select("node", "root").distinct().join(sets, "node").select("node", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("part"))
+    return rarest(each, [], 1 - similarity, "near").select(F.col("part").alias("key"), "node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """``(id, component_id)`` for every row; ids are not null and stand for one text each."""
     marks = saved(_marks(docs, id_col, text_col, shingle), "near-marks")
     nodes = saved(marks.groupBy("words").agg(F.min(id_col).alias("node"), *[F.first(c).alias(c) for c in ("fp", "n", "keys")]), "near-nodes")
-    keyed = nodes.select("node", "n", F.explode(F.array_append("keys", F.xxhash64(F.lit(-1), "fp"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("x"), F.max(F.struct("node", "n")).alias("y")).where("many > 1")
-    shared = saved(shared.select("key", F.array("x", "y").alias("ends")), "near-shared")
-    rows = saved(keyed.join(small_side(shared.select("key")), "key", "left_semi"), "near-rows")
-    held = rows.join(small_side(shared), "key").select("node", "n", F.explode("ends").alias("e")).where((F.col("node") != F.col("e.node")) & _sized("n", "e.n", similarity))
-    star = held.select(F.greatest("node", "e.node").alias("a"), F.least("node", "e.node").alias("b"))
-    bits = links(nodes.groupBy("fp").agg(F.min("node").alias("node")), radius).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = saved(star.unionByName(bits).distinct(), "near-pairs")
+    keyed = nodes.select("node", F.explode(F.array_append("keys", F.xxhash64(F.lit(-1), "fp"))).alias("key"))
+    shared = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "near-shared")
+    rows = saved(keyed.join(small_side(shared), "key", "left_semi").select("key", "node"), "near-rows")
+    sizes = nodes.select("node", "n")
+    bits = links(nodes.groupBy("fp").agg(F.min("node").alias("node")), radius).select(*ordered("a", "b"))
+    pairs = saved(_sizes(ends(rows, "near").unionByName(bits).distinct(), sizes, similarity), "near-pairs")
     wanted = rows.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = saved(wanted.distinct().select(F.col("node").alias(id_col)), "near-wanted")
     sets = saved(_sets(docs.join(small_side(wanted), id_col, "left_semi"), id_col, text_col, shingle), "near-sets")
     sure = saved(_confirmed(pairs, sets, similarity), "near-sure")
     roots = saved(components(sure, "a", "b"), "near-roots")
-    more = saved(_confirmed(_crossing(rows, roots, similarity), sets, similarity), "near-more")
+    more = crossing(rows, roots, lambda large: _divided(large, sets, similarity), "near", OPEN)
+    more = saved(_confirmed(_sizes(more, sizes, similarity), sets, similarity), "near-more")
     if not more.isEmpty():
         roots = saved(components(sure.unionByName(more), "a", "b"), "near-roots")
     for old in (rows, sets):

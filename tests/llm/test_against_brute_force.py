@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import catalog, components, extraction, language, lines, mixing, pieces, quality_rules, simhash, sketch, url_rules
+from folioframe.llm import catalog, components, extraction, language, lines, mixing, pieces, quality_rules, resemblance, simhash, sketch, url_rules
 from folioframe.llm.common import tokenizer_path
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -76,9 +76,12 @@ def test_divided_shards(spark, radius):
     assert got == want
 
 
-def test_near_dedup_stage_by_resemblance(spark):
+@pytest.mark.parametrize("large", [64, 1])
+def test_near_dedup_stage_by_resemblance(spark, monkeypatch, large):
+    monkeypatch.setattr(resemblance, "OPEN", large)  # the smaller bound divides nearly all blocks
     rng = random.Random(11)
-    texts = []
+    passage = [f"p{k}" for k in range(200)]  # shared by texts that are not alike
+    texts = [" ".join([*passage, *(f"y{rng.randrange(10**6)}" for _ in range(90))]) for _ in range(40)]
     for _ in range(25):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((12, 60, 300)))]
         for edits in (0, 1, 1, len(base) // 60 + 1, len(base) // 20):
