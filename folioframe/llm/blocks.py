@@ -23,13 +23,17 @@ def ordered(x: Column | str, y: Column | str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def ends(rows: DataFrame, name: str) -> DataFrame:
-    """Pairs ``(a, b)`` of each node of a block with the block's first and last node; ``rows`` has distinct ``(key, node)``."""
+def ends(rows: DataFrame, name: str, fits: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` of each node of a block with the block's first and last node, and ``(key, many)`` of blocks of three nodes or more.
+
+    ``rows`` has distinct ``(key, node)``; pairs that do not ``fit`` are left out.
+    """
     of = saved(rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo < hi"), f"{name}-ends")
     held = looked_up(rows, of, ["key"], "many").select("node", F.explode(F.array("lo", "hi")).alias("e")).where("node <> e")
+    if fits is not None:
+        held = held.where(fits(F.col("node"), F.col("e")))
     out = saved(held.select(*ordered("node", "e")).distinct(), f"{name}-star")
-    discard(of)
-    return out
+    return out, of.where("many > 2").select("key", "many")
 
 
 def pairs(rows: DataFrame, main: bool = False) -> DataFrame:
@@ -40,7 +44,7 @@ def pairs(rows: DataFrame, main: bool = False) -> DataFrame:
     return a.join(b, "key").where((F.col("root_x") != F.col("root_y")) & apart).select(*ordered("x", "y"))
 
 
-def crossing(rows: DataFrame, roots: DataFrame, divided: Callable[[DataFrame], DataFrame], name: str, limit: int) -> DataFrame:
+def crossing(rows: DataFrame, roots: DataFrame, divided: Callable[[DataFrame], DataFrame], name: str, limit: int, fits: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of one block that ``roots``, ``(node, root)``, does not connect.
 
     ``divided`` gets the ``(key, node, root)`` of blocks with more than ``limit``
@@ -55,6 +59,8 @@ def crossing(rows: DataFrame, roots: DataFrame, divided: Callable[[DataFrame], D
     large = apart.where(F.col("rest") > limit).select("key", "node", "root")
     if not large.isEmpty():
         out = out.unionByName(pairs(divided(large)))
+    if fits is not None:
+        out = out.where(fits(F.col("a"), F.col("b")))
     out = saved(out.distinct(), f"{name}-cross")
     discard(named, per, apart)
     return out

@@ -43,7 +43,9 @@ from .components import components
 SIMILARITY = 0.8
 #: Words that enter parts; longest line with parts of two words, and how many of its words enter them.
 TOP, PAIRED, PAIRED_TOP = 12, 12, 8
-_WORD = 0x7FFFFFFF
+_WORD, _LENGTH = 0x7FFFFFFF, 1023
+#: Hashes are not worth encoding or compressing.
+RANDOM = {"parquet.enable.dictionary": "false", "compression": "none"}
 #: Code points that a word can stand for in Levenshtein.
 _PLANE = 1 << 20
 
@@ -61,13 +63,8 @@ def _normalised(text: Column) -> Column:
 
 
 def _rank(word: Column) -> Column:
-    """The place of a word in the common order: a hash, scaled down for long words."""
-    size = F.least(F.length(word), F.lit(12))
-    return F.call_function("div", F.shiftrightunsigned(F.xxhash64(word), 1), size * size)
-
-
-def _short(ranks: Column) -> Column:
-    return F.transform(ranks, lambda x: x.bitwiseAND(F.lit(_WORD)).cast("int"))
+    """The place of a word in the common order: a hash, halved for every letter, so that long words tend to come first."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(word), F.length(word).bitwiseAND(F.lit(31)))
 
 
 def _least(similarity: float) -> int:
@@ -75,22 +72,28 @@ def _least(similarity: float) -> int:
     return math.ceil(1 / (1 - similarity) - 1e-9)
 
 
-def _lines(docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """``_id, _doc, _pos, line, n, words, top`` of each line with words; ``words`` and ``top`` are empty where no edit is allowed."""
-    none = F.array().cast("array<int>")
+def _at(n: Column) -> Column:
+    """An occurrence: a hash of its place, with the length of the line (1,023 at most) in its last bits."""
+    return F.xxhash64("_doc", "_pos").bitwiseAND(F.lit(~_LENGTH)).bitwiseOR(F.least(n, F.lit(_LENGTH)).cast("long"))
+
+
+def _fits(similarity: float):
+    """Whether the lengths of two occurrences allow the similarity at all."""
+
+    def compared(a: Column, b: Column) -> Column:
+        x, y = a.bitwiseAND(F.lit(_LENGTH)), b.bitwiseAND(F.lit(_LENGTH))
+        return F.abs(x - y) <= F.floor(F.greatest(x, y) * F.lit(1 - similarity) + F.lit(1e-9))
 
-    def found(w: Column, at: Column) -> Column:
-        ranks = F.transform(w, _rank)
-        both = let(ranks, lambda r: F.struct(_short(r).alias("words"), _short(F.slice(F.array_distinct(F.sort_array(r)), 1, TOP)).alias("top")))
-        both = F.when(F.size(w) >= _least(similarity), both).otherwise(F.struct(none.alias("words"), none.alias("top")))
-        return F.when(F.size(w) > 0, F.struct(at.alias("_pos"), F.xxhash64(w).alias("line"), F.size(w).alias("n"), both.alias("_b")))
+    return compared
 
-    def one(line: Column, at: Column) -> Column:
-        return let(_line_words(line), lambda w: found(w, at))
 
-    rows = docs.select("_id", "_doc", F.explode(F.array_compact(F.transform(F.split(_normalised(F.col(text_col)), "\n", -1), one))).alias("_r"))
-    rows = rows.select("_id", "_doc", "_r._pos", "_r.line", "_r.n", "_r._b.*")
-    return rows.withColumn("_at", F.xxhash64("_doc", "_pos"))
+def _lines(docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """``_id, _doc, _pos, _at, line, blocks`` of each line with words; no blocks where no edit is allowed."""
+    rows = docs.select("_id", "_doc", F.posexplode(F.split(_normalised(F.col(text_col)), "\n", -1)).alias("_pos", "_line")).where(F.trim("_line") != "")
+    rows = rows.select("_id", "_doc", "_pos", _line_words(F.col("_line")).alias("_w"))
+    rows = rows.select("_id", "_doc", "_pos", F.size("_w").alias("n"), F.xxhash64("_w").alias("line"), F.transform("_w", _rank).alias("_v"))
+    rows = rows.select("_id", "_doc", "_pos", "n", "line", F.slice(F.array_distinct(F.sort_array("_v")), 1, TOP).alias("_top"))
+    return rows.select("_id", "_doc", "_pos", _at(F.col("n")).alias("_at"), "line", blocks(F.col("_top"), F.col("n"), similarity).alias("blocks"))
 
 
 def part_simhash(*hashes: Column) -> Column:
@@ -100,30 +103,27 @@ def part_simhash(*hashes: Column) -> Column:
     if len(hashes) == 2:
         return hashes[0].bitwiseAND(hashes[1])
     a, b, c = hashes
-    return a.bitwiseAND(b).bitwiseOR(a.bitwiseAND(c)).bitwiseOR(b.bitwiseAND(c))
+    return a.bitwiseAND(b).bitwiseOR(c.bitwiseAND(a.bitwiseOR(b)))
 
 
-def _blocks(top: Column, n: Column, similarity: float = SIMILARITY) -> Column:
-    """The blocks of a line's fingerprint: a SimHash for each part, marked by the size of the part."""
+def blocks(top: Column, n: Column, similarity: float = SIMILARITY) -> Column:
+    """The blocks of a line's fingerprint: the SimHash of each part."""
+    none = F.array().cast("array<bigint>")
 
-    def runs(hashes: Column, size: int, most: int) -> Column:
+    def runs(size: int, most: int) -> Column:
         # A line all of whose words are there is a ring, so that each word is in as many parts.
-        first = F.slice(hashes, 1, most)
+        first = F.slice(top, 1, most) if most < TOP else top
         ring = F.when(F.size(top) < most, F.concat(first, F.slice(first, 1, size - 1))).otherwise(first)
 
         def part(r: Column) -> Column:
-            return F.transform(F.sequence(F.lit(0), F.size(r) - size), lambda i: F.xxhash64(F.lit(size), part_simhash(*[F.get(r, i + k) for k in range(size)])))
-
-        return let(ring, lambda r: F.when(F.size(r) >= size, part(r)).otherwise(F.array().cast("array<bigint>")))
+            return F.transform(F.sequence(F.lit(0), F.size(r) - size), lambda i: part_simhash(*[F.get(r, i + k) for k in range(size)]))
 
-    def every(hashes: Column) -> Column:
-        none = F.array().cast("array<bigint>")
-        pairs = F.when(n <= PAIRED, runs(hashes, 2, PAIRED_TOP)).otherwise(none)
-        threes = F.when(n >= math.ceil((PAIRED + 1) * similarity - 1e-9), runs(hashes, 3, TOP)).otherwise(none)
-        singles = F.when(F.size(hashes) < 4, F.transform(hashes, lambda h: F.xxhash64(F.lit(1), h))).otherwise(none)
-        return F.array_distinct(F.concat(pairs, threes, singles))
+        return let(ring, lambda r: F.when(F.size(r) >= size, part(r)).otherwise(none))
 
-    return let(F.transform(top, lambda w: F.xxhash64(w)), every)
+    threes = F.when(n >= math.ceil((PAIRED + 1) * similarity - 1e-9), runs(3, TOP)).otherwise(none)
+    # Lines of few words, or of few different ones, in which each of these is a part as well.
+    short = F.array_distinct(F.concat(threes, F.when(n <= PAIRED, runs(2, PAIRED_TOP)).otherwise(none), F.when(F.size(top) < 4, top).otherwise(none)))
+    return F.when(n < _least(similarity), none).when((n <= PAIRED) | (F.size(top) < 4), short).otherwise(threes)
 
 
 def _coded(words: Column) -> Column:
@@ -132,78 +132,89 @@ def _coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
-def _edits(n_a: Column, n_b: Column, similarity: float) -> Column:
-    """The edits that lines of these lengths may have."""
-    return F.floor(F.greatest(n_a, n_b) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
-
-
-def _verified(pairs: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose edit similarity over words is high enough.
 
-    Codes are narrower than words. They can only make lines more alike, so that
-    a link is checked: if two words of the pair share a code, the pair is coded
-    again by the places of its words.
+    Pairs in which either line misses more words of the other than edits are
+    allowed are left out first. Codes are narrower than words; if two words of
+    a pair share a code, the pair is coded by the places of its words.
     """
-    a, b = (coded.select(F.col("line").alias(s), F.col("words").alias(f"w_{s}"), F.col("code").alias(f"c_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("_most", _edits(F.col("n_a"), F.col("n_b"), similarity))
-    both = both.where(F.abs(F.col("n_a") - F.col("n_b")) <= F.col("_most")).where(F.expr("levenshtein(c_a, c_b, _most) >= 0"))
-    distinct = let(F.concat("w_a", "w_b"), lambda w: F.size(F.array_distinct(w)) == F.size(F.array_distinct(F.transform(w, lambda x: F.pmod(x, F.lit(_PLANE))))))
+    a, b = (words.select(F.col("node").alias(s), F.col("words").alias(f"w_{s}")) for s in "ab")
+    both = pairs.join(a, "a").join(b, "b")
+    longest = F.greatest(F.size("w_a"), F.size("w_b"))
+    both = both.withColumn("_most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
+    both = both.where(F.abs(F.size("w_a") - F.size("w_b")) <= F.col("_most"))
+    both = both.where((F.size(F.array_except("w_a", "w_b")) <= F.col("_most")) & (F.size(F.array_except("w_b", "w_a")) <= F.col("_most")))
+    narrow = lambda c: F.transform(c, lambda x: F.pmod(x, F.lit(_PLANE)))
+    distinct = let(F.concat("w_a", "w_b"), lambda w: F.size(F.array_distinct(w)) == F.size(F.array_distinct(narrow(w))))
+    plain = F.call_function("levenshtein", _coded(F.col("w_a")), _coded(F.col("w_b")), F.col("_most")) >= 0
     places = let(F.array_distinct(F.concat("w_a", "w_b")), lambda d: F.struct(*[_coded(F.transform(F.col(f"w_{s}"), lambda x: F.array_position(d, x).cast("int"))).alias(s) for s in "ab"]))
     exact = let(places, lambda p: F.call_function("levenshtein", p["a"], p["b"], F.col("_most")) >= 0)
-    return both.where(F.when(distinct, F.lit(True)).otherwise(exact)).select("a", "b")
+    return both.where(plain).where(F.when(distinct, F.lit(True)).otherwise(exact)).select("a", "b")
 
 
-def _divided(rows: DataFrame, coded: DataFrame, similarity: float) -> DataFrame:
+def _divided(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The rows of large blocks under finer keys: the words that are rarest in the block.
 
     A line misses as many of another's words as edits are allowed at most: a
     quarter of its own words, if 0.8 of the longer one's have to be the same.
     """
-    words = coded.select(F.col("line").alias("node"), F.col("n").alias("size"), F.array_distinct("words").alias("words"))
-    each = rows.join(words, "node").select("key", "node", "root", "size", F.explode("words").alias("part"))
+    own = words.select("node", F.size("words").alias("size"), F.array_distinct("words").alias("words"))
+    each = rows.join(own, "node").select("key", "node", "root", "size", F.explode("words").alias("part"))
     first = rarest(each, ["key"], (1 - similarity) / similarity, "line")
     return first.select(F.xxhash64("key", "part").alias("key"), "node", "root")
 
 
-def candidates(first: DataFrame, similarity: float) -> DataFrame:
-    """``(key, line)`` of the blocks that more than one line has; ``first`` has one row for each line."""
-    keyed = first.select("line", F.explode(_blocks(F.col("top"), F.col("n"), similarity)).alias("key"))
+def candidates(standing: DataFrame) -> DataFrame:
+    """``(key, node)`` of the blocks that more than one line has; ``standing`` has ``(node, blocks)``."""
+    keyed = standing.select("node", F.explode("blocks").alias("key"))
     shared = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "line-shared")
-    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "line").distinct(), "line-rows")
+    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "node").distinct(), "line-rows")
     discard(shared)
     return rows
 
 
-def groups(first: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``(node, root)`` of lines that are joined with others, and the words of all candidates."""
-    rows = candidates(first, similarity)
-    wanted = saved(rows.select("line").distinct(), "line-wanted")
-    coded = first.join(small_side(wanted), "line", "left_semi").dropDuplicates(["line"]).withColumn("code", _coded(F.col("words")))
-    coded = saved(coded.select("line", "_id", "n", "words", "code"), "line-codes")
-    nodes = rows.withColumnRenamed("line", "node")
-    sure = saved(_verified(ends(nodes, "line"), coded, similarity), "line-sure")
+def _words_of(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """``(node, words)`` of some occurrences, words by 31 bits of their hashes."""
+    rows = docs.select("_doc", F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line"))
+    own = F.transform(_line_words(F.col("_w")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_WORD)).cast("int"))
+    rows = rows.withColumn("place", F.xxhash64("_doc", "_pos").bitwiseAND(F.lit(~_LENGTH)))
+    places = nodes.select("node", F.col("node").bitwiseAND(F.lit(~_LENGTH)).alias("place"))
+    found = rows.join(small_side(saved(places, "line-places")), "place").withColumn("_w", _normalised(F.col("_line")))
+    return saved(found.select("node", own.alias("words")).dropDuplicates(["node"]), "line-words")
+
+
+def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """``(node, root)`` of lines that are joined with others."""
+    rows = candidates(standing)
+    star, many = ends(rows, "line", _fits(similarity))
+    wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).unionByName(looked_up(rows, many, ["key"], "many").select("node"))
+    words = _words_of(docs, text_col, saved(wanted.distinct(), "line-wanted"))
+    sure = saved(_verified(star, words, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
-    more = crossing(nodes, roots, lambda large: _divided(large, coded, similarity), "line", OPEN)
-    more = saved(_verified(more, coded, similarity), "line-more")
+    more = crossing(rows, roots, lambda large: _divided(large, words, similarity), "line", OPEN, _fits(similarity))
+    more = saved(_verified(more, words, similarity), "line-more")
     if not more.isEmpty():
         roots = saved(components(sure.unionByName(more), "a", "b"), "line-roots")
-    discard(rows, wanted, sure, more)
-    return roots, coded.select("line", "_id")
+    discard(rows, star, words, sure, more)
+    return roots
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and ``n_lines``, ``n_removed``."""
     mark = F.xxhash64(id_col, text_col)
     order = F.coalesce(F.col(id_col), F.lit(2**63 - 1))
-    seen = saved(_lines(docs.select(order.cast("long").alias("_id"), mark.alias("_doc"), text_col), text_col, similarity), "lines")
+    own = docs.select(order.cast("long").alias("_id"), mark.alias("_doc"), text_col)
+    seen = saved(_lines(own, text_col, similarity), "lines", RANDOM)
     many = seen.groupBy("line").agg(F.count(F.lit(1)).alias("times"), F.min("_id").alias("first"), F.min("_at").alias("at")).where("times > 1")
     again = saved(many, "lines-again")
     # One occurrence stands for each line; the others have nothing to add to the candidates.
-    standing = seen.where(F.size("words") > 0).join(small_side(again.select("line", "at")), "line", "left").where("at is null or at = _at").drop("at")
-    roots, known = groups(standing.select("line", "_id", "n", "words", "top"), similarity)
-    linked = roots.withColumnRenamed("node", "line").join(known, "line").join(again, "line", "left")
-    linked = linked.select("line", "root", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("first", "_id").alias("first"))
-    single = again.join(small_side(roots.select(F.col("node").alias("line"))), "line", "left_anti").select("line", F.col("line").alias("root"), "times", "first")
+    standing = seen.where(F.size("blocks") > 0).select("line", F.col("_at").alias("node"), "blocks").join(small_side(again.select("line", "at")), "line", "left").where("at is null or at = node")
+    roots = groups(own, standing.select("node", "blocks"), text_col, similarity)
+    known = seen.select("line", "_id", F.col("_at").alias("node")).join(small_side(roots), "node").dropDuplicates(["node"])
+    linked = known.join(small_side(again), "line", "left").select("line", "root", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("first", "_id").alias("first"))
+    linked = saved(linked, "lines-linked")
+    single = again.join(small_side(linked.select("line")), "line", "left_anti").select("line", F.col("line").alias("root"), "times", "first")
     keepers = saved(linked.groupBy("root").agg(F.min("first").alias("keeper"), F.count(F.lit(1)).alias("many")), "lines-keepers")
     linked = looked_up(linked, keepers, ["root"], "many").select("line", "root", "times", "keeper")
     repeated = saved(linked.unionByName(single.withColumnRenamed("first", "keeper")), "lines-repeated")
@@ -211,7 +222,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = hits.where(F.col("_id") == F.col("keeper")).groupBy("root").agg(F.min(F.struct("_doc", "_pos")).alias("k")).select(F.col("k._doc").alias("_doc"), F.col("k._pos").alias("_pos"))
     gone = hits.select("_doc", "_pos").distinct().join(keep, ["_doc", "_pos"], "left_anti")
     gone = saved(gone.groupBy("_doc").agg(F.collect_list("_pos").alias("_gone")), "lines-gone")
-    discard(seen, again, repeated, hits)
+    discard(seen, again, linked, repeated, hits)
     count = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
     out = docs.withColumn("_doc", mark).join(F.broadcast(gone) if count <= 2_000_000 else gone, "_doc", "left").drop("_doc")
     lines = F.split(text_col, "\n", -1)

@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     rows = saved(keyed.join(small_side(shared), "key", "left_semi").select("key", "node"), "near-rows")
     sizes = nodes.select("node", "n")
     bits = links(nodes.groupBy("fp").agg(F.min("node").alias("node")), radius).select(*ordered("a", "b"))
-    pairs = saved(_sizes(ends(rows, "near").unionByName(bits).distinct(), sizes, similarity), "near-pairs")
+    pairs = saved(_sizes(ends(rows, "near")[0].unionByName(bits).distinct(), sizes, similarity), "near-pairs")
     wanted = rows.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = saved(wanted.distinct().select(F.col("node").alias(id_col)), "near-wanted")
     sets = saved(_sets(docs.join(small_side(wanted), id_col, "left_semi"), id_col, text_col, shingle), "near-sets")
