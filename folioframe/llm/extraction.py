@@ -3,43 +3,55 @@
 Every page becomes a tree of blocks. Trees of pages from one host are aligned
 by simple tree matching and folded into a wrapper, whose nodes count the pages
 they were matched on and keep their text while it is the same on all of them.
-A constant node is template; a slot whose text varies can hold content. Pages
-are folded where they are read, a batch at a time, and the wrappers of a host
-in groups of ``FOLD`` until there is one: no task sees more than one group.
-A page is then aligned with its host's wrapper, which gives the container of
-the varying text, and this container's blocks without template nodes are the
-page's text.
-
-Menus, headers, footers, side columns, notices, adverts, forms and comments
-vary from page to page as well; such slots are told by element, role, class
-and link density. Where a container is marked as article or main, its headings
-are never template, and nothing in it is unless its other text varies: copies
-of an article that fill a host are returned whole.
+A node whose text is constant is template; a slot whose text varies can hold
+content. Pages are dealt by a hash of what they are and folded in its order, in
+groups of ``FOLD``, until a host has one wrapper: no task sees more than a
+group, and reruns agree.
+
+The wrapper decides for all pages of its host. Its smallest node that holds
+nearly all varying text outside links is the container of the content; the
+blocks that a page has there, without template nodes and boilerplate, are the
+page's text. Varying text weighs less where a slot is marked as boilerplate (by
+element, role or class), and more where it is marked as article or main, so
+that a long column of comments does not outweigh an article; marks that are
+absent or wrong do not change a clear majority.
+
+Only where a host has fewer than ``TEMPLATE_PAGES`` pages, or its text does not
+vary (copies of an article that fill a host), a page's own marks decide, and
+without them its own text.
 
 Edge cases: null or empty html gives an empty text; html without elements is
-one block; a host with one page has no template, and marks alone decide; any
-markup is accepted, however broken; a null URL is a host of its own; repeated
-rows give repeated results.
+one block; any markup is accepted, however broken, in linear time; elements
+nested deeper than ``DEPTH`` become siblings of the deepest, none of their text
+is lost; a null URL is a host of its own; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, small_side, table
+from .common import discard, looked_up, saved, small_side, table
 from .url_rules import host_of
 
-#: Pages, or wrappers, that are folded into one wrapper; children of a node that are matched in order.
-FOLD, WIDTH = 48, 64
-#: A constant text is template once so many pages have shown it.
-TEMPLATE_PAGES, MARKED_TEMPLATE_PAGES = 3, 5
+#: Pages, or wrappers, that are folded into one wrapper; open elements at once.
+FOLD, DEPTH = 48, 200
+#: A wrapper of more nodes than this loses those that fewer than this share of its pages have.
+NODES, RARE = 1_000, 0.02
+#: A constant text is template once so many pages have shown it; hosts of fewer pages have no template.
+TEMPLATE_PAGES = 3
+#: The share of varying text that a child must hold to be the container in its parent's place.
+HOLDS = 2 / 3
+#: How marks weigh a slot's varying text.
+CUE_WEIGHT, MAIN_WEIGHT = 0.4, 2.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +66,9 @@ _WORDS = (
     "respond disqus related recommended share sharing social widget pagination pager toolbar login"
 )
 CUES = frozenset(_WORDS.split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_BEGIN = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BREAK = re.compile(r"[^a-z0-9]+")
 #: Elements that an opening tag closes when they are open, within the nearest of the third set.
@@ -66,6 +80,10 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 _SCOPE = frozenset("article section main div td th li body html button aside nav header footer form blockquote table".split())
 
 
+#: Elements that are single blocks, never a container.
+LEAVES = frozenset("p li dt dd td th h1 h2 h3 h4 h5 h6 pre blockquote figcaption caption summary".split())
+
+
 class Node:
     """An element: ``runs`` are its own texts, each before the child of that number."""
 
@@ -81,6 +99,50 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(text)} if text.strip(" /\n\t\r") else {}
 
 
+class _TagEnds:
+    """Where tags end: at the first ``>`` outside quotes, or, where a quote is never closed, at the first one.
+
+    From an opening quote on, scanning always ends alike; each is followed once,
+    so that all tags of a page together take linear time, however broken it is.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.known, self.next = html, {}, (0, -1)
+        self.last = html.rfind(">")
+
+    def stop(self, at: int) -> int:
+        low, high = self.next
+        if not low <= at <= high:
+            found = _STOP.search(self.html, at)
+            high = found.start() if found else len(self.html)
+            self.next = (at, high)
+        return high
+
+    def __call__(self, start: int) -> int:
+        if start > self.last:
+            return -1
+        html, path, at = self.html, [], start
+        while True:
+            at = self.stop(at)
+            if at == len(html):
+                end = -1
+            elif html[at] == ">":
+                end = at
+            elif at in self.known:
+                end = self.known[at]
+            else:
+                path.append(at)
+                close = html.find(html[at], at + 1)
+                if close >= 0:
+                    at = close + 1
+                    continue
+                end = -1
+            break
+        for quote in path:
+            self.known[quote] = end
+        return end if end >= 0 else html.find(">", start)
+
+
 def parse(html: str | None) -> Node:
     """The block tree of a page; inline elements are part of their block's text."""
     root = Node("#root")
@@ -89,7 +151,8 @@ def parse(html: str | None) -> Node:
     stack: list[Node] = [root]
     names: list[str] = ["#root"]  # of open elements, inline ones as well
     nodes_at: list[int] = [0]
-    links, at = 0, 0
+    open_, displaced = Counter(), Counter()  # elements by name; those that gave way to deeper ones
+    links, at, lower, end_of = 0, 0, None, _TagEnds(html)
 
     def put(text: str) -> None:
         if text:
@@ -100,30 +163,42 @@ def parse(html: str | None) -> Node:
         nonlocal links
         while len(names) > depth:
             name = names.pop()
+            open_[name] -= 1
             if name == "a":
                 links -= 1
             if nodes_at.pop():
                 stack.pop()
 
-    lower = None
     while True:
-        found = _TOKEN.search(html, at)
-        if found is None:
+        found = _BEGIN.search(html, at)
+        while found and found.start() > end_of.last and not html.startswith("<!--", found.start()):
+            found = _BEGIN.search(html, found.end())  # nothing ends a tag from here on
+        if not found:
             put(html[at:])
             break
-        put(html[at : found.start()])
-        at = found.end()
-        name = (found[2] or found[5] or "").lower()
-        if not name:
+        begin = found.start()
+        put(html[at:begin])
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(html)
             continue
-        rest = found[3] or found[6] or ""
-        if found[1] or found[4]:  # a closing tag
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == name:
-                    close_to(k)
-                    break
-                if names[k] in MAIN_TAGS and name not in ("body", "html", "main", "article"):
-                    break
+        if html[begin + 1] in "!?":
+            at = html.find(">", begin) + 1
+            continue
+        closing = html[begin + 1] == "/"
+        found = _NAME.match(html, begin)
+        name, end = found[1].lower(), end_of(found.end())
+        rest, at = html[found.end() : end], end + 1
+        if closing:
+            if displaced[name] and not (len(names) == DEPTH and names[-1] == name):
+                displaced[name] -= 1
+            elif open_[name]:
+                for k in range(len(names) - 1, 0, -1):
+                    if names[k] == name:
+                        close_to(k)
+                        break
+                    if names[k] in MAIN_TAGS and name not in ("body", "html", "main", "article"):
+                        break
             continue
         if name in HIDDEN and name not in VOID:
             if name != "head":
@@ -141,7 +216,7 @@ def parse(html: str | None) -> Node:
             elif name == "hr":
                 stack[-1].children.append(Node("hr"))
             continue
-        if name in _ENDS_P:
+        if name in _ENDS_P and open_["p"]:
             for k in range(len(names) - 1, 0, -1):
                 if names[k] == "p":
                     close_to(k)
@@ -159,7 +234,11 @@ def parse(html: str | None) -> Node:
                     break
         if rest.rstrip().endswith("/") and name in ("svg", "path"):
             continue
+        if len(names) == DEPTH:
+            displaced[names[-1]] += 1
+            close_to(DEPTH - 1)
         names.append(name)
+        open_[name] += 1
         if name == "a":
             links += 1
         if name in INLINE:
@@ -168,7 +247,7 @@ def parse(html: str | None) -> Node:
         attributes = _attributes(rest)
         role = attributes.get("role", "").lower()
         spoken = set(_BREAK.split(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-        cue = (name in BOILERPLATE and not (name == "header" and "article" in names)) or role in ROLES or bool(spoken & CUES and name not in ("body", "html", *MAIN_TAGS))
+        cue = (name in BOILERPLATE and not (name == "header" and open_["article"])) or role in ROLES or bool(spoken & CUES and name not in ("body", "html", *MAIN_TAGS))
         cue = cue or "hidden" in attributes or attributes.get("aria-hidden") == "true"
         node = Node(name, cue, name in MAIN_TAGS or role in MAIN_ROLES)
         stack[-1].children.append(node)
@@ -202,19 +281,52 @@ def blocks(node: Node, template: frozenset[int] | set[int] = frozenset()) -> lis
 TAG, SEEN, TEXTED, TEXT, CHARS, LINKED, CUE, MAIN, CHILDREN = range(9)
 
 
-def as_wrapper(node: Node) -> list:
-    """The wrapper of one page. Neighbouring children of one kind are one repeated slot."""
-    order: list[list] = []
-    todo = [(node, order)]
+def slots(node: Node) -> tuple[list, dict[int, list[Node]]]:
+    """The wrapper of one page, and the page's nodes of each wrapper node. Neighbouring children of one shape are one repeated slot."""
+    order: list[tuple[Node, list]] = []
+    members: dict[int, list[Node]] = {}
+    todo: list[tuple[Node, list | None]] = [(node, None)]
     while todo:
-        here, into = todo.pop()
+        here, parent = todo.pop()
         text = " ".join("".join(t for _, t, _ in here.texts).split())
         linked = sum(len(t.strip()) for _, t, l in here.texts if l)
         made = [here.tag, 1, int(bool(text)), text if len(text) <= 200 else f"#{hash_text(text)}", len(text), linked, here.cue, here.main, []]
-        into.append(made)
-        for child in reversed(here.children):
-            todo.append((child, made[CHILDREN]))
-    return _settle(order[0])
+        if parent is not None:
+            parent[CHILDREN].append(made)
+        order.append((here, made))
+        members[id(made)] = [here]
+        todo += [(child, made) for child in reversed(here.children)]
+    shapes: dict[tuple, int] = {}
+    shape: dict[int, int] = {}
+    for _, made in reversed(order):
+        children: list[list] = []
+        for child in made[CHILDREN]:
+            if children and shape[id(children[-1])] == shape[id(child)]:
+                _merge(children[-1], child, members)
+            else:
+                children.append(child)
+        made[CHILDREN] = children
+        shape[id(made)] = shapes.setdefault((*_kind(made), *(shape[id(c)] for c in children)), len(shapes))
+    return order[0][1], members
+
+
+def _merge(a: list, b: list, members: dict[int, list[Node]]) -> None:
+    """Adds a node of one page to a neighbour of the same shape."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        if x[TEXT] != y[TEXT]:
+            x[TEXT] = None
+        x[TEXTED] = max(x[TEXTED], y[TEXTED])
+        x[CHARS] += y[CHARS]
+        x[LINKED] += y[LINKED]
+        members[id(x)] += members[id(y)]
+        todo += zip(x[CHILDREN], y[CHILDREN], strict=True)
+
+
+def as_wrapper(node: Node) -> list:
+    """The wrapper of one page."""
+    return slots(node)[0]
 
 
 def hash_text(text: str) -> str:
@@ -223,24 +335,6 @@ def hash_text(text: str) -> str:
     return hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def _settle(top: list) -> list:
-    """Condense repeated neighbours, deepest nodes first."""
-    order, todo = [], [top]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += node[CHILDREN]
-    for node in reversed(order):
-        children: list[list] = []
-        for child in node[CHILDREN]:
-            if children and _kind(children[-1]) == _kind(child):
-                children[-1] = _union(children[-1], child, same_page=True)
-            else:
-                children.append(child)
-        node[CHILDREN] = children
-    return top
-
-
 def _kind(node: list) -> tuple:
     return node[TAG], node[CUE], node[MAIN]
 
@@ -249,79 +343,102 @@ def match(a: list, b: list) -> int:
     """Simple tree matching: the size of the largest common top-down subtree with order kept."""
     if _kind(a) != _kind(b):
         return 0
-    return 1 + _score(a[CHILDREN], b[CHILDREN])[-1][-1]
+    x, y = a[CHILDREN], b[CHILDREN]
+    if not x or not y:
+        return 1
+    weights = _weights(x, y)
+    row = np.zeros(len(y) + 1, np.int64)
+    for line in weights:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + line))
+    return 1 + int(row[-1])
+
+
+def _shape(node: list) -> tuple:
+    return (*_kind(node), tuple(map(_shape, node[CHILDREN])))
 
 
-def _score(x: list, y: list) -> list[list[int]]:
-    rows = [[0] * (len(y) + 1)]
-    for a in x:
-        last, row = rows[-1], [0]
-        for j, b in enumerate(y):
-            row.append(max(row[-1], last[j + 1], last[j] + (match(a, b) if _kind(a) == _kind(b) else 0)))
-        rows.append(row)
-    return rows
+def _weights(x: list, y: list) -> np.ndarray:
+    """How well each two children match; children of one shape are looked at once."""
+    shapes_x, shapes_y = [_shape(n) for n in x], [_shape(n) for n in y]
+    places_x, places_y = {s: k for k, s in enumerate(dict.fromkeys(shapes_x))}, {s: k for k, s in enumerate(dict.fromkeys(shapes_y))}
+    first_x, first_y = {s: n for s, n in zip(reversed(shapes_x), reversed(x), strict=True)}, {s: n for s, n in zip(reversed(shapes_y), reversed(y), strict=True)}
+    few = np.array([[match(first_x[s], first_y[t]) for t in places_y] for s in places_x], np.int64)
+    return few[np.ix_([places_x[s] for s in shapes_x], [places_y[t] for t in shapes_y])]
+
+
+def _best(weights: np.ndarray) -> list[tuple[int, int]]:
+    """The heaviest alignment of rows with columns in order; halved, so that space stays linear in what is aligned."""
+    out, todo = [], [(0, weights.shape[0], 0, weights.shape[1])]
+    while todo:
+        top, bottom, left, right = todo.pop()
+        if top == bottom or left == right:
+            continue
+        block = weights[top:bottom, left:right]
+        if bottom - top == 1:
+            at = int(block[0].argmax())
+            if block[0, at] > 0:
+                out.append((top, left + at))
+            continue
+        middle = (bottom - top) // 2
+        ahead = np.zeros(right - left + 1, np.int64)
+        for line in block[:middle]:
+            ahead[1:] = np.maximum.accumulate(np.maximum(ahead[1:], ahead[:-1] + line))
+        behind = np.zeros(right - left + 1, np.int64)
+        for line in block[middle:][::-1, ::-1]:
+            behind[1:] = np.maximum.accumulate(np.maximum(behind[1:], behind[:-1] + line))
+        cut = int((ahead + behind[::-1]).argmax())
+        todo += [(top, top + middle, left, left + cut), (top + middle, bottom, left + cut, right)]
+    return sorted(out)
 
 
 def _pairs(x: list, y: list) -> list[tuple[int, int]]:
-    """Matched children: alike ends directly, the rest by tree matching; beyond WIDTH in order of kind alone."""
-    head = 0
-    while head < min(len(x), len(y)) and _kind(x[head]) == _kind(y[head]):
+    """Matched children: ends of one shape directly, which is never worse, the rest by tree matching."""
+    shapes_x, shapes_y, head, tail = list(map(_shape, x)), list(map(_shape, y)), 0, 0
+    while head < min(len(x), len(y)) and shapes_x[head] == shapes_y[head]:
         head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and _kind(x[-1 - tail]) == _kind(y[-1 - tail]):
+    while tail < min(len(x), len(y)) - head and shapes_x[-1 - tail] == shapes_y[-1 - tail]:
         tail += 1
-    out = [(k, k) for k in range(head)]
     inner_x, inner_y = x[head : len(x) - tail], y[head : len(y) - tail]
-    if len(inner_x) <= WIDTH and len(inner_y) <= WIDTH:
-        rows, i, j, found = _score(inner_x, inner_y), len(inner_x), len(inner_y), []
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                found.append((head + i, head + j))
-        out += found[::-1]
-    else:
-        start = 0
-        for i, a in enumerate(inner_x):
-            j = next((j for j in range(start, len(inner_y)) if _kind(inner_y[j]) == _kind(a)), None)
-            if j is not None:
-                out.append((head + i, head + j))
-                start = j + 1
-    return out + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
-
-
-def _union(a: list, b: list, same_page: bool = False) -> list:
+    inner = [(head + i, head + j) for i, j in _best(_weights(inner_x, inner_y))] if inner_x and inner_y else []
+    return [(k, k) for k in range(head)] + inner + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+
+
+def _union(a: list, b: list) -> list:
     """Two aligned nodes as one; what is not matched stays as optional."""
     text = a[TEXT] if a[TEXT] == b[TEXT] else None
-    seen, texted = (1, max(a[TEXTED], b[TEXTED])) if same_page else (a[SEEN] + b[SEEN], a[TEXTED] + b[TEXTED])
     pairs, children, i, j = _pairs(a[CHILDREN], b[CHILDREN]), [], 0, 0
     for p, q in [*pairs, (len(a[CHILDREN]), len(b[CHILDREN]))]:
         children += a[CHILDREN][i:p] + b[CHILDREN][j:q]
         if p < len(a[CHILDREN]):
-            children.append(_union(a[CHILDREN][p], b[CHILDREN][q], same_page))
+            children.append(_union(a[CHILDREN][p], b[CHILDREN][q]))
         i, j = p + 1, q + 1
-    return [a[TAG], seen, texted, text, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], a[CUE], a[MAIN], children]
+    return [a[TAG], a[SEEN] + b[SEEN], a[TEXTED] + b[TEXTED], text, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], a[CUE], a[MAIN], children]
+
+
+def _pruned(top: list) -> list:
+    """A wrapper of many nodes without those that few of its pages have."""
+    count, todo = 0, [top]
+    while todo:
+        node = todo.pop()
+        count += 1
+        todo += node[CHILDREN]
+    if count > NODES:
+        todo = [top]
+        while todo:
+            node = todo.pop()
+            node[CHILDREN] = [c for c in node[CHILDREN] if c[SEEN] >= RARE * top[SEEN]]
+            todo += node[CHILDREN]
+    return top
 
 
 def fold(wrappers: Iterable[list]) -> list | None:
-    """One wrapper of many."""
+    """One wrapper of many, in the order given."""
     out = None
     for wrapper in wrappers:
-        out = wrapper if out is None else _union(out, wrapper)
+        out = wrapper if out is None else _pruned(_union(out, wrapper))
     return out
 
 
-def _content(node: list) -> int:
-    """Characters of varying text outside links and boilerplate."""
-    if node[CUE]:
-        return 0
-    own = 0 if node[TEXT] is not None and node[SEEN] >= TEMPLATE_PAGES else max(0, node[CHARS] - node[LINKED])
-    return own + sum(_content(c) for c in node[CHILDREN])
-
-
 def _marked(node: Node) -> list[Node]:
     """The outermost nodes marked as article or main, in page order, outside boilerplate; articles within a main win."""
     out, todo = [], [node]
@@ -335,152 +452,176 @@ def _marked(node: Node) -> list[Node]:
     return out
 
 
-def extract(html: str | None, wrapper: list | None) -> str:
-    """The main text of a page, given its host's wrapper."""
-    try:
-        return _extract(parse(html), wrapper)
-    except RecursionError:  # a tree deeper than the stack: marks alone decide, over the flat list of blocks
-        return "\n\n".join(blocks(parse(html)))
+def _linked(node: list) -> bool:
+    return node[LINKED] > 0.6 * node[CHARS]
+
+
+class Wrapper:
+    """A host's wrapper with what it decides: ``container``, the node that holds the content, and ``template``, its constant nodes.
+
+    ``container`` is None where the host has too few pages, or too little text that varies.
+    """
+
+    def __init__(self, top: list):
+        self.top, self.container, self.template = top, None, set()
+        order, todo = [], [top]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += node[CHILDREN]
+        if top[SEEN] < TEMPLATE_PAGES:
+            return
+        weight, raw, whole = {}, 0, 0  # of varying text below each node
+        for node in reversed(order):
+            varies = node[TEXT] is None or node[SEEN] < TEMPLATE_PAGES
+            own = max(0, node[CHARS] - node[LINKED]) if node[CHARS] and not _linked(node) else 0
+            whole += own
+            raw += own if varies else 0
+            if node[TEXT] and not varies and node[TAG] not in HEADINGS or node[CHARS] and _linked(node):
+                self.template.add(id(node))
+            factor = (CUE_WEIGHT if node[CUE] else 1.0) * (MAIN_WEIGHT if node[MAIN] else 1.0)
+            weight[id(node)] = factor * ((own if varies else 0) + sum(weight[id(c)] for c in node[CHILDREN]))
+        if raw < whole / 3:  # copies of a few pages: what varies is not the article
+            self.template.clear()
+            return
+        here = top
+        while True:
+            best = max(here[CHILDREN], key=lambda c: weight[id(c)], default=None)
+            within = sum(weight[id(c)] for c in here[CHILDREN]) + (max(0, here[CHARS] - here[LINKED]) if here[TEXT] is None else 0)
+            if best is None or not weight[id(best)] or weight[id(best)] < HOLDS * within or best[TAG] in LEAVES:
+                break
+            here = best
+        self.container = here
 
 
 def align(root: Node, wrapper: list) -> dict[int, list]:
     """The wrapper node that each page node is matched with, by its identity; unmatched nodes are left out."""
     out: dict[int, list] = {}
-    todo = [([root], as_wrapper(root), wrapper)]
+    top, members = slots(root)
+    todo = [(top, wrapper)]
     while todo:
-        nodes, own, known = todo.pop()
-        for node in nodes:
-            out[id(node)] = known
-        slots: list[list[Node]] = [[] for _ in own[CHILDREN]]
-        for node in nodes:  # the nodes of a repeated slot have the slot's children between them
-            at = 0
-            for child in node.children:
-                kind = (child.tag, child.cue, child.main)
-                while at < len(slots) and _kind(own[CHILDREN][at]) != kind:
-                    at += 1
-                if at == len(slots):
-                    at = next((k for k, x in enumerate(own[CHILDREN]) if _kind(x) == kind), 0)
-                slots[at].append(child)
-        for i, j in _pairs(own[CHILDREN], known[CHILDREN]):
-            todo.append((slots[i], own[CHILDREN][i], known[CHILDREN][j]))
+        own, known = todo.pop()
+        out.update((id(node), known) for node in members[id(own)])
+        todo += [(own[CHILDREN][i], known[CHILDREN][j]) for i, j in _pairs(own[CHILDREN], known[CHILDREN])]
     return out
 
 
-def _own_text(node: Node) -> str:
-    return " ".join("".join(t for _, t, _ in node.texts).split())
-
-
-def _varies(node: list) -> bool:
-    return not node[CUE] and (node[TEXT] is None or any(map(_varies, node[CHILDREN])))
-
-
-def _template(container: Node, known: dict[int, list], pages: int, spared: frozenset[str]) -> set[int]:
-    """Nodes below a container whose text is constant over so many pages, and lists of links."""
-    out, todo = set(), [container]
+def _alone(root: Node) -> list[Node]:
+    """What a page's own marks, or else its own text outside boilerplate, give as containers."""
+    marked = _marked(root)
+    if marked:
+        return marked
+    order, todo, chars = [], [root], {}
     while todo:
-        for child in todo.pop().children:
-            text, at = _own_text(child), known.get(id(child))
-            constant = text and at is not None and at[SEEN] >= pages and at[TEXT] is not None and child.tag not in spared
-            linked = sum(len(t.strip()) for _, t, l in child.texts if l)
-            if constant or (not spared and linked > 0.6 * len(text) and text):
-                out.add(id(child))
-            else:
-                todo.append(child)
-    return out
-
-
-def _extract(root: Node, wrapper: list | None) -> str:
-    known = align(root, wrapper if wrapper is not None else as_wrapper(root))
-    out: list[str] = []
-    for at in _marked(root):
-        slot = known.get(id(at))
-        out += blocks(at, _template(at, known, MARKED_TEMPLATE_PAGES, HEADINGS) if slot is not None and _varies(slot) else set())
-    if out:
-        return "\n\n".join(out)
-    here, total = root, _content(known[id(root)])
-    while total:  # down to the smallest element that holds nearly all varying text
-        below = [c for c in here.children if not c.cue and id(c) in known]
-        best = max(below, key=lambda c: _content(known[id(c)]), default=None)
-        if best is None or _content(known[id(best)]) < 0.8 * total or sum(c.tag == best.tag and known.get(id(c)) is known[id(best)] for c in here.children) > 1:
-            break
+        node = todo.pop()
+        order.append(node)
+        todo += node.children
+    for node in reversed(order):
+        text = sum(len(t.strip()) for _, t, linked in node.texts if not linked)
+        chars[id(node)] = 0 if node.cue else text + sum(chars[id(c)] for c in node.children)
+    here = root
+    while True:
+        best = max(here.children, key=lambda c: chars[id(c)], default=None)
+        if best is None or not chars[id(best)] or chars[id(best)] < 0.8 * chars[id(here)] or best.tag in LEAVES or sum(c.tag == best.tag for c in here.children) > 1:
+            return [here]
         here = best
-    return "\n\n".join(blocks(here, _template(here, known, TEMPLATE_PAGES, frozenset()) if _varies(known[id(root)]) else set()))
-
-
-_NOTHING = ["#root", 1, 0, "", 0, 0, False, False, []]  # for trees deeper than the stack
-
-
-def _page_wrapper(html: str | None) -> list:
-    try:
-        return as_wrapper(parse(html))
-    except RecursionError:
-        return _NOTHING
 
 
-def _join(a: list, b: list) -> list:
-    try:
-        return _union(a, b)
-    except RecursionError:
-        return a
-
-
-def _fold_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A wrapper for each host of a batch."""
+def extract(html: str | None, wrapper: Wrapper | None) -> str:
+    """The main text of a page, given its host's wrapper."""
+    root = parse(html)
+    found: list[Node] = []
+    template: set[int] = set()
+    if wrapper is not None and wrapper.container is not None:
+        known = align(root, wrapper.top)
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            slot = known.get(id(node))
+            if slot is wrapper.container:
+                found.append(node)
+            elif slot is not None:
+                todo += reversed(node.children)
+        template = {k for k, slot in known.items() if id(slot) in wrapper.template}
+    return "\n\n".join(text for node in found or _alone(root) for text in blocks(node, template))
+
+
+def _page_wrappers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper of each page."""
     for batch in batches:
-        found: dict[str, list] = {}
-        for host, html in zip(batch.column(0), batch.column(1), strict=True):
-            one, at = _page_wrapper(html.as_py()), host.as_py()
-            found[at] = _join(found[at], one) if at in found else one
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(w) for w in found.values()], pa.string())], names=["host", "wrapper"])
+        made = [json.dumps(as_wrapper(parse(html.as_py())), separators=(",", ":")) for html in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], names=["host", "place", "wrapper"])
 
 
 def _fold_wrappers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A wrapper for each group; rows arrive by (host, part)."""
-    key, now, hosts, made = None, None, [], []
+    """A wrapper for each group; rows arrive by (host, part, place)."""
+    key, now, hosts, parts, made = None, None, [], [], []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(parts, pa.int64()), pa.array(made, pa.string())], names=["host", "place", "wrapper"])
+
     for batch in batches:
         for host, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (host, part) != key:
                 if key is not None:
                     hosts.append(key[0])
-                    made.append(json.dumps(now))
+                    parts.append(key[1])
+                    made.append(json.dumps(now, separators=(",", ":")))
                 key, now = (host, part), json.loads(text)
             else:
-                now = _join(now, json.loads(text))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(made, pa.string())], names=["host", "wrapper"])
-        hosts, made = [], []
+                now = _pruned(_union(now, json.loads(text)))
+        yield out()
+        hosts, parts, made = [], [], []
     if key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([json.dumps(now)], pa.string())], names=["host", "wrapper"])
+        hosts, parts, made = [key[0]], [key[1]], [json.dumps(now, separators=(",", ":"))]
+        yield out()
 
 
 def wrappers(pages: DataFrame, fan: int = FOLD) -> DataFrame:
-    """``(host, wrapper)``: one wrapper for each host, as JSON; ``pages`` has ``host`` and ``html``."""
-    schema = "host string, wrapper string"
-    state = saved(pages.select("host", "html").mapInArrow(_fold_pages, schema), "wrappers")
+    """``(host, wrapper)``: one wrapper for each host, as JSON; ``pages`` has ``host``, ``url`` and ``html``.
+
+    A page's place among those of its host is a hash of its URL and html; equal
+    places are equal pages, or as good as.
+    """
+    schema = "host string, place bigint, wrapper string"
+    state = saved(pages.select("host", F.xxhash64("url", "html").alias("place"), "html").mapInArrow(_page_wrappers, schema), "wrappers")
     while True:
         counts = saved(state.groupBy("host").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "wrapper-counts")
         if counts.isEmpty():
-            return state
-        many = state.join(small_side(counts), "host").withColumn("_part", F.pmod(F.xxhash64("wrapper", F.monotonically_increasing_id()), F.ceil(F.col("_n") / fan).cast("long")))
-        folded = many.select("host", "_part", "wrapper").repartition("host", "_part").sortWithinPartitions("host", "_part", "wrapper").mapInArrow(_fold_wrappers, schema)
+            return state.select("host", "wrapper")
+        many = looked_up(state, counts, ["host"], "_n").withColumn("_part", F.pmod("place", F.ceil(F.col("_n") / fan).cast("long")))
+        folded = many.select("host", "_part", "place", "wrapper").repartition("host", "_part").sortWithinPartitions("host", "_part", "place", "wrapper")
+        folded = folded.select("host", "_part", "wrapper").mapInArrow(_fold_wrappers, schema)
         after = saved(state.join(small_side(counts.select("host")), "host", "left_anti").unionByName(folded), "wrappers")
-        discard(state)
+        discard(state, counts)
         state = after
 
 
-#: Wrappers may be broadcast up to so many characters.
-BROADCAST_CHARS = 16_000_000
+#: Wrappers may be broadcast up to so many characters; beyond that, so many pages of a host are dealt to one task.
+BROADCAST_CHARS, DEALT_PAGES = 16_000_000, 5_000
+
+
+def _paired(own: DataFrame, known: DataFrame) -> DataFrame:
+    """Every page with its host's wrapper. Where these are too many to broadcast, the pages of a large host are dealt to several keys, and its wrapper to each."""
+    size = known.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    if size <= BROADCAST_CHARS:
+        return own.join(F.broadcast(known), "host")
+    deals = F.ceil(F.get_json_object("wrapper", f"$[{SEEN}]").cast("long") / DEALT_PAGES)
+    large = saved(known.select("host", deals.alias("_deals")).where("_deals > 1"), "wrapper-deals")
+    dealt = own.join(small_side(large), "host", "left").withColumn("_deal", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_deals", F.lit(1))))
+    spread = known.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(deals, F.lit(1)) - 1)))
+    return dealt.join(spread, ["host", "_deal"])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for every page."""
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     known = wrappers(own)
-    size = known.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    paired = own.join(F.broadcast(known) if size <= BROADCAST_CHARS else known, "host").select("page_id", "url", "html", "wrapper")
+    paired = _paired(own, known).select("page_id", "url", "html", "wrapper")
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str, list] = {}
+        parsed: dict[str, Wrapper] = {}
         for batch in batches:
             texts = []
             for html, wrapper in zip(batch.column(2), batch.column(3), strict=True):
@@ -488,7 +629,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 if text not in parsed:
                     if len(parsed) > 500:
                         parsed.clear()
-                    parsed[text] = json.loads(text)
+                    parsed[text] = Wrapper(json.loads(text))
                 texts.append(extract(html.as_py(), parsed[text]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -290,13 +290,113 @@ def test_wrapper_without_marks(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     got = {r.page_id: r.text for r in extraction.extracted(pages).collect()}
     assert got == {k: f"T{k}\n\nBody {k * 7} text < more here" for k in range(12)}
-    assert spark.createDataFrame(rows, "page_id long, url string, html string").select(F.lit("h").alias("host"), "html").transform(extraction.wrappers).count() == 1
+    assert spark.createDataFrame(rows, "page_id long, url string, html string").select(F.lit("h").alias("host"), "url", "html").transform(extraction.wrappers).count() == 1
+
+
+def _tree(rng, depth=4):
+    children = [] if not depth else [_tree(rng, depth - 1) for _ in range(rng.randrange(5))]
+    return [rng.choice("ab"), 1, 0, "", 0, 0, False, False, children]
+
+
+def _plain_match(a, b):
+    if a[0] != b[0]:
+        return 0
+    x, y = a[extraction.CHILDREN], b[extraction.CHILDREN]
+    rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + _plain_match(x[i], y[j]))
+    return 1 + rows[-1][-1]
 
 
 def test_tree_matching():
     tree = lambda h: extraction.as_wrapper(extraction.parse(h))
     a, b = tree("<div><h1>a</h1><p>b</p><ul><li>c</li></ul></div>"), tree("<div><h1>x</h1><ul><li>y</li></ul></div>")
     assert extraction.match(a, a) == 6 and extraction.match(a, b) == 5
+    rng = random.Random(6)
+    for _ in range(150):
+        a, b = _tree(rng), _tree(rng)
+        assert extraction.match(a, b) == _plain_match(a, b)
+        x, y = a[extraction.CHILDREN], b[extraction.CHILDREN]
+        if x and y:  # the alignment is ordered and as heavy as the matching says
+            found = extraction._best(extraction._weights(x, y))
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+            assert sum(_plain_match(x[i], y[j]) for i, j in found) == _plain_match(["t", *a[1:]], ["t", *b[1:]]) - 1
+
+
+def test_wide_trees():
+    node = lambda tag, children=(): [tag, 1, 0, "", 0, 0, False, False, list(children)]
+    wide = [node("dt" if k % 2 else "dd", [node("b")] * (k % 3)) for k in range(1500)]
+    assert extraction.match(node("dl", wide), node("dl", wide)) == 1 + sum(1 + k % 3 for k in range(1500))
+    assert extraction._pairs(wide, wide[3:])[-1] == (1499, 1496)
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<p class="x', "<", "</", "<b>", "<div><p>", "</x>", "<a href='y'>t</a>", "<!-", "<x><article><b>", "<li><b>", "<br", "&#"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    for html in (page, page + ">", "<p>one</p>" + page):
+        extraction.extract(html, None)
+    assert time.process_time() - began < 15  # three pages of a megabyte; a square would take hours
+
+
+def test_deep_pages_lose_no_text():
+    html = "".join(f"<div>t{k}" for k in range(1000)) + "".join(f"</div>u{k}" for k in range(1000))
+    found = extraction.blocks(extraction.parse(html))
+    assert sorted(re.findall("[tu][0-9]+", " ".join(found))) == sorted(f"{c}{k}" for c in "tu" for k in range(1000))
+    pages = [extraction.as_wrapper(extraction.parse(html.replace("t7", f"v{k}"))) for k in range(4)]
+    assert extraction.fold(pages)[extraction.SEEN] == 4
+
+
+def _wrapper(pages):
+    return extraction.Wrapper(extraction.fold(map(extraction.as_wrapper, map(extraction.parse, pages))))
+
+
+def test_alignment_decides_where_marks_are_absent_or_wrong():
+    rng = random.Random(8)
+    voc = [f"w{k}" for k in range(500)]
+    say = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+
+    def page(k, outer, inner):
+        body = "".join(f"<p>{say(20)}</p>" for _ in range(rng.randrange(2, 6)))
+        html = f"<body><div {outer}><a href=/{k}>{say(1)}</a><a href=/x{k}>{say(1)}</a></div><div {outer}>{say(6)}</div><div {inner}><h1>{say(4)}</h1>{body}<div>Read our shop</div></div><div {outer}>{say(5)}</div></body>"
+        text = [re.sub("<[^>]*>", "", x) for x in re.findall(r"<(?:h1|p)>.*?(?=</)", html)]
+        return html, "\n\n".join(text)
+
+    for outer, inner in (("", ""), ("class=x", "class=sidebar"), ("role=main", ""), ("class=ad", "role=main")):
+        made = [page(k, outer, inner) for k in range(12)]
+        wrapper = _wrapper([html for html, _ in made])
+        assert [extraction.extract(html, wrapper) for html, _ in made] == [text for _, text in made], (outer, inner)
+        alone = [extraction.extract(html, None) == text for html, text in made]
+        assert not any(alone), (outer, inner)  # the constant block alone makes marks fall short
+
+
+def test_wrappers_agree_with_marks_on_tables():
+    """On the tables' pages, whose marks are right, the wrapper finds the same text from the marks' absence."""
+    pages = pd.read_parquet(f"{SF.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    host = pages.url.fillna("").str.extract("://([^/?#]*)")[0].str.lower()
+    bare = lambda h: re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", h).replace(' class="ad"', "")
+    same = total = without = 0
+    for _, part in pages.groupby(host):
+        if len(part) < 6:
+            continue
+        wrapper = _wrapper(map(bare, part.html))
+        for html in part.html:
+            want = extraction.extract(html, None)
+            same += extraction.extract(bare(html), wrapper) == want
+            without += extraction.extract(bare(html), None) == want
+            total += 1
+    assert total > 60 and same >= 0.97 * total and without < same
+
+
+def test_wrappers_do_not_depend_on_the_layout(spark):
+    rng = random.Random(3)
+    bits = ["<p>a</p>", "<div><h2>b</h2></div>", "<ul><li>c</li></ul>", "<section><p>d</p><hr></section>", "<table><tr><td>e</td></tr></table>"]
+    rows = [("h", f"u{k}", "".join(rng.choices(bits, k=rng.randrange(1, 6)))) for k in range(120)]
+    found = {extraction.wrappers(spark.createDataFrame(rows, "host string, url string, html string").repartition(n), fan=8).first().wrapper for n in (1, 5)}
+    assert len(found) == 1
 
 
 def test_article_pages():
