@@ -1,7 +1,8 @@
 """Document quality by co-training two views.
 
-One classifier sees the text (character-class pairs, vocabulary and line
-figures), another the document's metadata (source, language, length). Over
+One classifier sees the text (its words and pairs of words, in hashed buckets,
+character-class pairs, vocabulary and line figures), another the document's
+metadata (source, language, length). Over
 some rounds each labels the unlabelled documents that it is surest of, and
 the other learns from them. Each view is then calibrated on labelled
 documents that neither learned from, and the calibrated views are combined.
@@ -17,6 +18,7 @@ both kinds every score is the share of good labels (0.5 if there are none).
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,6 +33,10 @@ LABELLED, UNLABELLED, ROUNDS, PER_ROUND, KEEP = 6_000, 4_000, 5, 200, 0.5
 MARKS = ".,!?#*$%&|"
 CLASSES = 6 + len(MARKS)
 BUCKETS = 64
+#: Buckets of words and of pairs of words in the text view.
+WORD_BUCKETS, PAIR_BUCKETS = 192, 64
+FIGURES = 6
+TEXT = CLASSES * CLASSES + FIGURES + WORD_BUCKETS + PAIR_BUCKETS
 
 
 def _classes() -> np.ndarray:
@@ -46,7 +52,7 @@ _KIND = _classes()
 
 def text_view(text: str | None) -> np.ndarray:
     """Features of a whole text."""
-    out = np.zeros(CLASSES * CLASSES + 6, np.float32)
+    out = np.zeros(TEXT, np.float32)
     if not text:
         return out
     pairs = np.zeros(CLASSES * CLASSES, np.int64)
@@ -58,14 +64,22 @@ def text_view(text: str | None) -> np.ndarray:
     found, lines = text.split(), text.split("\n")
     n, distinct = len(found), len(set(found))
     grams = len(set(zip(found, found[1:], found[2:], strict=False)))
-    out[CLASSES * CLASSES :] = (np.log1p(n) / 5, distinct / max(1, n), grams / max(1, n - 2), len(set(lines)) / len(lines), (len(text) - n) / max(1, n) / 10, min(n, 20) / 20)
+    at = CLASSES * CLASSES
+    out[at : at + FIGURES] = (np.log1p(n) / 5, distinct / max(1, n), grams / max(1, n - 2), len(set(lines)) / len(lines), (len(text) - n) / max(1, n) / 10, min(n, 20) / 20)
+    if found:
+        # Words by their hash, pairs by a mix of both hashes; the square root of shares, as for character classes.
+        known = {w: zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for w in set(found)}
+        codes = np.fromiter(map(known.__getitem__, found), np.uint32, n)
+        at += FIGURES
+        out[at : at + WORD_BUCKETS] = np.sqrt(np.bincount(codes % WORD_BUCKETS, minlength=WORD_BUCKETS) / n)
+        if n > 1:
+            both = (codes[:-1] * np.uint32(2654435761) + codes[1:]) >> np.uint32(8)
+            out[at + WORD_BUCKETS :] = np.sqrt(np.bincount(both % PAIR_BUCKETS, minlength=PAIR_BUCKETS) / (n - 1))
     return out
 
 
 def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
     """Which features of the metadata are set."""
-    import zlib
-
     size = 0 if not n_chars or n_chars < 1 else 1 + min(30, int(n_chars).bit_length())
     return [zlib.crc32(f"s{source}".encode("utf-8", "surrogatepass")) % BUCKETS, BUCKETS + zlib.crc32(f"l{lang}".encode("utf-8", "surrogatepass")) % BUCKETS, 2 * BUCKETS + size]
 
@@ -169,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
 
     got = sorted(rows.select("doc_id", "quality", "text", "source", "lang", "n_chars").mapInArrow(view, schema).collect(), key=lambda r: (r.doc_id, str(r.quality), r.n_chars or 0))
     got.sort(key=lambda r: (r.doc_id * 2654435761) % (1 << 32))  # folds must not follow the ids
-    text = np.array([r.text for r in got], np.float32).reshape(len(got), CLASSES * CLASSES + 6)
+    text = np.array([r.text for r in got], np.float32).reshape(len(got), TEXT)
     meta = _meta_matrix([r.source for r in got], [r.lang for r in got], [r.n_chars for r in got])
     label = np.array([-1 if r.quality is None else int(r.quality > 0) for r in got], int)
     has = label >= 0

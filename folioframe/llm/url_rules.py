@@ -4,7 +4,8 @@ FP-growth mines frequent combinations of URL tokens together with the label.
 Combinations that are frequent enough, and bad with enough confidence (the
 lower Wilson bound counts, so that small tables do not make chance rules),
 become rules. Each rule is filed under its rarest token; a URL looks up its
-own tokens, and the few rules found are held against all of them.
+own tokens, and the few rules found are held against all of them. The surest
+rule decides; its support and confidence stand beside the verdict.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and
 fits no rule; given rules of equal length: the one with the longer host; URLs
@@ -71,7 +72,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     baskets = saved(baskets, "url-baskets")
     n = baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets)
-    sets = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
+    sets = saved(model.freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "url-sets")  # else each use mines again
     whole = sets.where(~F.array_contains("items", BAD))
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("hits"))
     p = F.col("hits") / F.col("freq")
@@ -85,22 +86,22 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(url, mined_rule, confidence)``: for each distinct URL that some rule fits, the surest rule."""
+    """``(url, mined_rule, confidence, support)``: for each distinct URL that some rule fits, the surest rule; of equal ones the commoner, then the last by name."""
     own = urls.where("url is not null").select("url").distinct().withColumn("_tokens", tokens_of(F.col("url")))
     looked = own.select("url", "_tokens", F.explode("_tokens").alias("key")).join(rules, "key")
     fits = looked.where(F.size(F.array_except("items", "_tokens")) == 0)
     best = F.max(F.struct("confidence", "support", F.array_join("items", " ").alias("rule")))
-    return fits.groupBy("url").agg(best.alias("b")).select("url", F.col("b.rule").alias("mined_rule"), F.col("b.confidence").alias("confidence"))
+    return fits.groupBy("url").agg(best.alias("b")).select("url", F.col("b.rule").alias("mined_rule"), F.col("b.confidence").alias("confidence"), F.col("b.support").alias("support"))
 
 
 def judged(pages: DataFrame, labelled: DataFrame, rules=GIVEN, **options) -> DataFrame:
-    """``(page_id, host, path, rule, verdict, mined_rule, confidence)`` for every page."""
+    """``(page_id, host, path, rule, verdict, mined_rule, confidence, support)`` for every page."""
     found = matches(pages, mine(labelled, **options))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = given_rule(F.col("host"), F.col("path"), rules)
     out = pages.select("page_id", "url").join(found, "url", "left").withColumns({"host": host, "path": path})
     by_method = F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "mined_rule", "confidence")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "mined_rule", "confidence", "support")
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import catalog, components, extraction, language, lines, mixing, pieces, quality_rules, resemblance, simhash, sketch, url_rules
+from folioframe.llm import catalog, components, cotraining, extraction, language, lines, mixing, pieces, quality_rules, resemblance, simhash, sketch, url_rules
 from folioframe.llm.common import tokenizer_path
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -284,6 +285,63 @@ def test_mined_rules(spark):
     assert got == {1: ("block", None), 2: ("allow", None), 3: ("allow", None), 4: ("allow", "example.com/en/7")}
 
 
+def _plain_tokens(url):
+    host, path, rest = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(.*)", url).groups()
+    host = host.lower()
+    labels = host.split(".")
+    out = ["." + x for x in labels if x] + ["-" + x for label in labels if "-" in label for x in label.split("-") if x]
+    out += ["/" + x for x in (re.sub("[0-9]+", "0", y) for y in re.split("[/.]", path)) if x not in ("", "0")]
+    return frozenset(out + ["?" + x for x in re.findall(r"[?&]([^=&#]+)", rest)])
+
+
+def _plain_rules(labelled, least, sure):
+    """Every combination of tokens that occurs, counted; the bad ones among them."""
+    hits, seen = collections.Counter(), collections.Counter()
+    for url, bad in labelled:
+        tokens = sorted(_plain_tokens(url))
+        for mask in range(1, 1 << len(tokens)):
+            items = frozenset(t for k, t in enumerate(tokens) if mask >> k & 1)
+            seen[items] += 1
+            hits[items] += bad
+    n, z, rules = len(labelled), 1.96, {}
+    for items, freq in seen.items():
+        p = hits[items] / freq
+        low = (p + z * z / 2 / freq - z * math.sqrt(p * (1 - p) / freq + z * z / 4 / freq / freq)) / (1 + z * z / freq)
+        if hits[items] >= math.ceil(n * least) and low >= sure:
+            rules[items] = (p, hits[items] / n)
+    return rules
+
+
+def test_url_verdicts_by_a_plain_miner(spark):
+    rng = random.Random(12)
+
+    def url(k):
+        host = rng.choice(("cheap-pills", "news", "blog-spot", "shop")) + rng.choice((".example.com", ".example.org", ".Test.NET"))
+        return f"http://{host}/{rng.choice(('en', 'de', 'win', 'free'))}/{rng.randrange(30)}{rng.choice(('', '?ref=x', '?page=2&ref=y'))}"
+
+    urls = [url(k) for k in range(900)]
+    bad = lambda u: ("pills" in u or "/win/" in u and "?ref" in u) and rng.random() < 0.95 or rng.random() < 0.1
+    labelled = [(u, bad(u)) for u in urls[:600]]
+    rules = _plain_rules(labelled, 0.01, 0.5)
+    assert len(rules) > 10
+    want = {}
+    for k, u in enumerate(urls[300:]):  # labelled and held-out ones
+        fit = [(c, s, " ".join(sorted(r))) for r, (c, s) in rules.items() if r <= _plain_tokens(u)]
+        want[k] = ("block", *max(fit)[:2]) if fit else ("allow", None, None)
+    pages = spark.createDataFrame(list(enumerate(urls[300:])), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.confidence, r.support) for r in url_rules.judged(pages, spark.createDataFrame(labelled, "url string, bad boolean"), rules=(), min_support=0.01, min_confidence=0.5).collect()}
+    for k, (verdict, confidence, support) in want.items():
+        assert got[k][0] == verdict and (confidence is None or (got[k][1], got[k][2]) == pytest.approx((confidence, support)))
+    held = [(got[k][0] == "block", "pills" in u or "/win/" in u and "?ref" in u) for k, u in enumerate(urls[300:]) if k >= 300]
+    assert sum(x == y for x, y in held) >= 0.95 * len(held)  # rules found on labels hold on other URLs
+
+
+def test_no_rules_by_chance(spark):
+    rng = random.Random(13)
+    labelled = [(f"http://{rng.choice('abcd')}.example.com/{rng.choice(('en', 'de'))}/{k}", rng.random() < 0.2) for k in range(1500)]
+    assert url_rules.mine(spark.createDataFrame(labelled, "url string, bad boolean")).count() == 0
+
+
 def test_wrapper_without_marks(spark):
     page = "<html><body><div class=top><a href=/>Home</a> <a href=/x>X</a></div><div id=c><h2>T%d</h2><p>Body %d text &lt; more<br>here</p><div>Read our shop</div></div><div class=sidebar>s%d</div><p>Copyright us</p></body></html>"
     rows = [(k, f"http://h.example.com/{k}", page % (k, k * 7, k)) for k in range(12)]
@@ -502,6 +560,63 @@ def test_part_simhash(spark):
         assert row[n - 1] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[:n]) > n)
 
 
+def _plain_text_view(text):
+    """Character-class pairs, figures, words and pairs of words, counted one by one."""
+    text = text or ""
+    out = [0.0] * cotraining.TEXT
+    if not text:
+        return out
+    kind = lambda c: 2 if c == "\n" else 1 if c.isspace() else 4 if c.isupper() else 3 if c.isalpha() else 5 if c.isdigit() else 6 + cotraining.MARKS.index(c) if c in cotraining.MARKS else 0
+    size = cotraining.CLASSES**2
+    for (a, b), n in collections.Counter(zip(map(kind, text), map(kind, text[1:]), strict=False)).items():
+        out[a * cotraining.CLASSES + b] = math.sqrt(n / max(1, len(text) - 1))
+    words, lines_ = text.split(), text.split("\n")
+    n = len(words)
+    out[size : size + 6] = [math.log1p(n) / 5, len(set(words)) / max(1, n), len(set(zip(words, words[1:], words[2:], strict=False))) / max(1, n - 2), len(set(lines_)) / len(lines_), (len(text) - n) / max(1, n) / 10, min(n, 20) / 20]
+    code = lambda w: zlib.crc32(w.lower().encode())
+    for k, m in collections.Counter(code(w) % cotraining.WORD_BUCKETS for w in words).items():
+        out[size + 6 + k] = math.sqrt(m / n)
+    pairs = collections.Counter(((code(a) * 2654435761 + code(b)) % 2**32 >> 8) % cotraining.PAIR_BUCKETS for a, b in zip(words, words[1:], strict=False))
+    for k, m in pairs.items():
+        out[size + 6 + cotraining.WORD_BUCKETS + k] = math.sqrt(m / (n - 1))
+    return out
+
+
+def test_text_view():
+    texts = [t for t in pd.read_parquet(f"{SF}/documents.parquet").text if len(t) < 5000][:40] + ["", None, " \n ", "one", "One two", "é#1\n" * 9]
+    for text in texts:
+        assert np.allclose(cotraining.text_view(text), _plain_text_view(text), atol=1e-6)
+
+
+def test_quality_scores_by_a_plain_run(spark):
+    """Every score of the query, from views and fits on the driver over the whole tables."""
+    docs, labels = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    quality = labels.dropna(subset=["doc_id", "quality"]).drop_duplicates(["doc_id", "quality"]).set_index("doc_id").quality
+    docs = docs.assign(quality=docs.doc_id.map(quality), place=docs.doc_id * 2654435761 % 2**32).sort_values("place")
+    view = np.array([_plain_text_view(t) for t in docs.text], np.float32)
+    meta = np.zeros((len(docs), cotraining.META), np.float32)
+    for k, row in enumerate(zip(docs.source, docs.lang, docs.n_chars, strict=True)):
+        meta[k, cotraining.meta_view(*row)] = 1
+    has = docs.quality.notna().to_numpy()
+    label = (docs.quality[has] > 0).astype(int).to_numpy()
+    model = cotraining.CoTrained(view[has], meta[has], label, view[~has], meta[~has])
+    want = dict(zip(docs.doc_id, model(view, meta)[0], strict=True))
+    got = catalog.queries()["op9_quality_classifier"](spark, SF).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-3 for r in got)
+
+
+def test_co_training_exchanges_labels_and_survives_ties():
+    rng = np.random.default_rng(1)
+    label = rng.integers(0, 2, 400)
+    text, meta = (np.hstack([label[:, None] + 0.3 * rng.normal(size=(400, 1)), rng.normal(size=(400, 3))]).astype(np.float32) for _ in range(2))
+    few = np.arange(400) < 40
+    model = cotraining.CoTrained(text[few], meta[few], label[few], text[~few], meta[~few], per_round=60)
+    assert min(model.exchanged) > 50
+    assert ((model(text[~few], meta[~few])[0] >= 0.5) == label[~few]).mean() > 0.95
+    same = cotraining.CoTrained(np.ones((20, 4)), np.ones((20, 4)), np.arange(20) % 2, np.ones((9, 4)), np.ones((9, 4)))
+    assert np.allclose(same(np.ones((3, 4)), np.ones((3, 4)))[0], 0.5, atol=0.1)
+
+
 def test_quality_accuracy(spark):
     folder = SF.replace("sf0.001", "sf0.01")
     got = catalog.queries()["op9_quality_classifier"](spark, folder).toPandas().merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
