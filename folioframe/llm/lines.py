@@ -36,13 +36,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import OPEN, crossing, ends, rarest
+from .blocks import OPEN, crossing, ends, fitting, rarest
 from .common import discard, let, looked_up, saved, small_side, table
 from .components import components
 
 SIMILARITY = 0.8
 #: Words that enter parts; longest line with parts of two words, and how many of its words enter them.
-TOP, PAIRED, PAIRED_TOP = 12, 12, 8
+TOP, PAIRED, PAIRED_TOP = 11, 12, 8
 _WORD, _LENGTH = 0x7FFFFFFF, 1023
 #: Hashes are not worth encoding or compressing.
 RANDOM = {"parquet.enable.dictionary": "false", "compression": "none"}
@@ -132,25 +132,55 @@ def _coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
+def _most(n_a: Column, n_b: Column, similarity: float) -> Column:
+    """The edits that lines of these lengths may have."""
+    return F.floor(F.greatest(n_a, n_b) * F.lit(1 - similarity) + F.lit(1e-9)).cast("int")
+
+
+def _marks(words: Column) -> list[Column]:
+    """``n`` and two longs of the parity of the words, by 7 bits of their hashes: an edit changes two of the 128 bits at most."""
+    zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+
+    def flipped(s: Column, w: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)))
+        low = w.bitwiseAND(F.lit(64)) == 0
+        return F.struct(F.when(low, s["p"].bitwiseXOR(bit)).otherwise(s["p"]).alias("p"), F.when(low, s["q"]).otherwise(s["q"].bitwiseXOR(bit)).alias("q"))
+
+    return [F.size(words).alias("n"), F.aggregate(words, zero, flipped).alias("parity")]
+
+
+def _near(similarity: float):
+    """Whether lengths and parities of two lines allow the similarity; no link is lost."""
+
+    def compared(left, right) -> Column:
+        most = _most(left("n"), right("n"), similarity)
+        flips = F.bit_count(left("p").bitwiseXOR(right("p"))) + F.bit_count(left("q").bitwiseXOR(right("q")))
+        return (F.abs(left("n") - right("n")) <= most) & (flips <= most * 2)
+
+    return compared
+
+
+def _joined(pairs: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
+    for side in "ab":
+        pairs = pairs.join(words.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+    return pairs
+
+
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose edit similarity over words is high enough.
 
-    Pairs in which either line misses more words of the other than edits are
-    allowed are left out first. Codes are narrower than words; if two words of
-    a pair share a code, the pair is coded by the places of its words.
+    Codes are narrower than words and can only make lines more alike. So the
+    links that they give are looked at again: where two words of a pair share a
+    code, the pair is coded by the places of its words.
     """
-    a, b = (words.select(F.col("node").alias(s), F.col("words").alias(f"w_{s}")) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b")
-    longest = F.greatest(F.size("w_a"), F.size("w_b"))
-    both = both.withColumn("_most", F.floor(longest * F.lit(1 - similarity) + F.lit(1e-9)).cast("int"))
-    both = both.where(F.abs(F.size("w_a") - F.size("w_b")) <= F.col("_most"))
-    both = both.where((F.size(F.array_except("w_a", "w_b")) <= F.col("_most")) & (F.size(F.array_except("w_b", "w_a")) <= F.col("_most")))
+    levenshtein = lambda a, b, most: F.call_function("levenshtein", a, b, most) >= 0
+    links = _joined(pairs, words, "n", "code").withColumn("_most", _most(F.col("n_a"), F.col("n_b"), similarity))
+    links = saved(links.where(levenshtein(F.col("code_a"), F.col("code_b"), F.col("_most"))).select("a", "b", "_most"), "line-coded")
+    both = _joined(links, words, "words")
     narrow = lambda c: F.transform(c, lambda x: F.pmod(x, F.lit(_PLANE)))
-    distinct = let(F.concat("w_a", "w_b"), lambda w: F.size(F.array_distinct(w)) == F.size(F.array_distinct(narrow(w))))
-    plain = F.call_function("levenshtein", _coded(F.col("w_a")), _coded(F.col("w_b")), F.col("_most")) >= 0
-    places = let(F.array_distinct(F.concat("w_a", "w_b")), lambda d: F.struct(*[_coded(F.transform(F.col(f"w_{s}"), lambda x: F.array_position(d, x).cast("int"))).alias(s) for s in "ab"]))
-    exact = let(places, lambda p: F.call_function("levenshtein", p["a"], p["b"], F.col("_most")) >= 0)
-    return both.where(plain).where(F.when(distinct, F.lit(True)).otherwise(exact)).select("a", "b")
+    distinct = let(F.concat("words_a", "words_b"), lambda w: F.size(F.array_distinct(w)) == F.size(F.array_distinct(narrow(w))))
+    places = let(F.array_distinct(F.concat("words_a", "words_b")), lambda d: F.struct(*[_coded(F.transform(F.col(f"words_{s}"), lambda x: F.array_position(d, x).cast("int"))).alias(s) for s in "ab"]))
+    return both.where(F.when(distinct, F.lit(True)).otherwise(let(places, lambda p: levenshtein(p["a"], p["b"], F.col("_most"))))).select("a", "b")
 
 
 def _divided(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
@@ -159,10 +189,10 @@ def _divided(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     A line misses as many of another's words as edits are allowed at most: a
     quarter of its own words, if 0.8 of the longer one's have to be the same.
     """
-    own = words.select("node", F.size("words").alias("size"), F.array_distinct("words").alias("words"))
-    each = rows.join(own, "node").select("key", "node", "root", "size", F.explode("words").alias("part"))
+    own = words.join(small_side(saved(rows.select("node").distinct(), "line-large")), "node", "left_semi").select("node", F.size("words").alias("size"), F.array_distinct("words").alias("words"))
+    each = rows.select("key", "node").join(own, "node").select("key", "node", "size", F.explode("words").alias("part"))
     first = rarest(each, ["key"], (1 - similarity) / similarity, "line")
-    return first.select(F.xxhash64("key", "part").alias("key"), "node", "root")
+    return first.join(rows, ["key", "node"]).withColumn("key", F.xxhash64("key", "part")).drop("part")
 
 
 def candidates(standing: DataFrame) -> DataFrame:
@@ -175,13 +205,13 @@ def candidates(standing: DataFrame) -> DataFrame:
 
 
 def _words_of(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """``(node, words)`` of some occurrences, words by 31 bits of their hashes."""
+    """``(node, words, code, n, parity)`` of some occurrences, words by 31 bits of their hashes."""
     rows = docs.select("_doc", F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line"))
     own = F.transform(_line_words(F.col("_w")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_WORD)).cast("int"))
     rows = rows.withColumn("place", F.xxhash64("_doc", "_pos").bitwiseAND(F.lit(~_LENGTH)))
     places = nodes.select("node", F.col("node").bitwiseAND(F.lit(~_LENGTH)).alias("place"))
-    found = rows.join(small_side(saved(places, "line-places")), "place").withColumn("_w", _normalised(F.col("_line")))
-    return saved(found.select("node", own.alias("words")).dropDuplicates(["node"]), "line-words")
+    found = rows.join(small_side(saved(places, "line-places")), "place").withColumn("_w", _normalised(F.col("_line"))).dropDuplicates(["node"])
+    return saved(found.select("node", own.alias("words")).select("node", "words", _coded(F.col("words")).alias("code"), *_marks(F.col("words"))), "line-words")
 
 
 def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -190,13 +220,14 @@ def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: floa
     star, many = ends(rows, "line", _fits(similarity))
     wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).unionByName(looked_up(rows, many, ["key"], "many").select("node"))
     words = _words_of(docs, text_col, saved(wanted.distinct(), "line-wanted"))
-    sure = saved(_verified(star, words, similarity), "line-sure")
+    marks, near = saved(words.select("node", "n", "parity.p", "parity.q"), "line-marks"), _near(similarity)
+    sure = saved(_verified(fitting(star, marks, near), words, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
-    more = crossing(rows, roots, lambda large: _divided(large, words, similarity), "line", OPEN, _fits(similarity))
+    more = crossing(rows, roots, marks, near, lambda large: _divided(large, words, similarity), "line", OPEN)
     more = saved(_verified(more, words, similarity), "line-more")
-    if not more.isEmpty():
-        roots = saved(components(sure.unionByName(more), "a", "b"), "line-roots")
-    discard(rows, star, words, sure, more)
+    if not more.isEmpty():  # from the groups there are
+        roots = saved(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "line-roots")
+    discard(rows, star, words, marks, sure, more)
     return roots
 
 
@@ -227,11 +258,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = docs.withColumn("_doc", mark).join(F.broadcast(gone) if count <= 2_000_000 else gone, "_doc", "left").drop("_doc")
     lines = F.split(text_col, "\n", -1)
     left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n"))
-    removed = F.coalesce(F.size("_gone"), F.lit(0))
+    feeds = F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit("")))
     return out.withColumns(
         {
-            "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-            "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(removed).cast("long"),
+            "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(feeds + 1).cast("long"),
+            "n_removed": F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"),
             text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left),
         }
     ).drop("_gone")

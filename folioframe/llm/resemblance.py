@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import OPEN, crossing, ends, ordered, rarest
+from .blocks import OPEN, crossing, ends, fitting, ordered, rarest
 from .common import discard, saved, small_side
 from .components import components
 from .simhash import RADIUS, SEED, links
@@ -109,27 +109,22 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, schema).dropDuplicates(["node"])
 
 
-def _sized(a: str, b: str, similarity: float):
-    """Whether sets of these sizes can have the resemblance at all."""
-    return F.least(a, b) + 1e-9 >= F.greatest(a, b) * similarity
-
-
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b")), "b")
     both = both.withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
     return both.where(F.col("same") + 1e-9 >= (F.size("set_a") + F.size("set_b") - F.col("same")) * similarity).select("a", "b")
 
 
-def _sizes(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have sizes that allow the resemblance."""
-    a, b = (nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").where(_sized("n_a", "n_b", similarity)).select("a", "b")
+def _near(similarity: float):
+    """Whether sets of these sizes can have the resemblance at all."""
+    return lambda left, right: F.least(left("n"), right("n")) + 1e-9 >= F.greatest(left("n"), right("n")) * similarity
 
 
 def _divided(large: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Nodes of large blocks under finer keys: their shingles that are rarest among all such nodes."""
-    each = large.select("node", "root").distinct().join(sets, "node").select("node", "root", F.size("hashes").alias("size"), F.explode("hashes").alias("part"))
-    return rarest(each, [], 1 - similarity, "near").select(F.col("part").alias("key"), "node", "root")
+    nodes = large.drop("key", "main", "rest", "many").distinct()
+    each = nodes.select("node").join(sets, "node").select("node", F.size("hashes").alias("size"), F.explode("hashes").alias("part"))
+    return rarest(each, [], 1 - similarity, "near").join(nodes, "node").withColumnRenamed("part", "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -139,18 +134,18 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, shingle: int =
     keyed = nodes.select("node", F.explode(F.array_append("keys", F.xxhash64(F.lit(-1), "fp"))).alias("key"))
     shared = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "near-shared")
     rows = saved(keyed.join(small_side(shared), "key", "left_semi").select("key", "node"), "near-rows")
-    sizes = nodes.select("node", "n")
+    sizes, near = saved(nodes.select("node", "n"), "near-sizes"), _near(similarity)
     bits = links(nodes.groupBy("fp").agg(F.min("node").alias("node")), radius).select(*ordered("a", "b"))
-    pairs = saved(_sizes(ends(rows, "near")[0].unionByName(bits).distinct(), sizes, similarity), "near-pairs")
+    pairs = saved(fitting(ends(rows, "near")[0].unionByName(bits).distinct(), sizes, near), "near-pairs")
     wanted = rows.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node")))
     wanted = saved(wanted.distinct().select(F.col("node").alias(id_col)), "near-wanted")
     sets = saved(_sets(docs.join(small_side(wanted), id_col, "left_semi"), id_col, text_col, shingle), "near-sets")
     sure = saved(_confirmed(pairs, sets, similarity), "near-sure")
     roots = saved(components(sure, "a", "b"), "near-roots")
-    more = crossing(rows, roots, lambda large: _divided(large, sets, similarity), "near", OPEN)
-    more = saved(_confirmed(_sizes(more, sizes, similarity), sets, similarity), "near-more")
-    if not more.isEmpty():
-        roots = saved(components(sure.unionByName(more), "a", "b"), "near-roots")
+    more = crossing(rows, roots, sizes, near, lambda large: _divided(large, sets, similarity), "near", OPEN)
+    more = saved(_confirmed(more, sets, similarity), "near-more")
+    if not more.isEmpty():  # from the groups there are
+        roots = saved(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "near-roots")
     for old in (rows, sets):
         discard(old)
     named = nodes.select("words", "node").join(roots, "node", "left").select("words", F.coalesce("root", "node").alias("component_id"))
