@@ -51,7 +51,9 @@ _PLANE = 1 << 20
 
 
 def _line_words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " ", -1), "")
+    words = F.split(line, " ", -1)
+    loose = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.when(loose, F.array_remove(words, "")).otherwise(words)
 
 
 def _normalised(text: Column) -> Column:
@@ -169,30 +171,36 @@ def _joined(pairs: DataFrame, words: DataFrame, *columns: str) -> DataFrame:
 def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose edit similarity over words is high enough.
 
-    Codes are narrower than words and can only make lines more alike. So the
-    links that they give are looked at again: where two words of a pair share a
-    code, the pair is coded by the places of its words.
+    Lines of one length that differ in few places are decided at once. Of the
+    others, pairs in which a line misses more words of the other than edits are
+    allowed go; the rest is coded for Levenshtein. Codes are narrower than words;
+    where two words of a pair share one, the pair is coded by the places of its
+    words instead.
     """
-    levenshtein = lambda a, b, most: F.call_function("levenshtein", a, b, most) >= 0
-    links = _joined(pairs, words, "n", "code").withColumn("_most", _most(F.col("n_a"), F.col("n_b"), similarity))
-    links = saved(links.where(levenshtein(F.col("code_a"), F.col("code_b"), F.col("_most"))).select("a", "b", "_most"), "line-coded")
-    both = _joined(links, words, "words")
+    both = _joined(pairs, words, "words")
+    a, b, most = F.col("words_a"), F.col("words_b"), F.col("_most")
+    both = both.withColumn("_most", _most(F.size(a), F.size(b), similarity))
+    changed = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
+    at_once = (F.size(a) == F.size(b)) & (changed <= most)
+    missing = (F.size(F.array_except(a, b)) <= most) & (F.size(F.array_except(b, a)) <= most)
+    levenshtein = lambda x, y: F.call_function("levenshtein", x, y, most) >= 0
     narrow = lambda c: F.transform(c, lambda x: F.pmod(x, F.lit(_PLANE)))
-    distinct = let(F.concat("words_a", "words_b"), lambda w: F.size(F.array_distinct(w)) == F.size(F.array_distinct(narrow(w))))
-    places = let(F.array_distinct(F.concat("words_a", "words_b")), lambda d: F.struct(*[_coded(F.transform(F.col(f"words_{s}"), lambda x: F.array_position(d, x).cast("int"))).alias(s) for s in "ab"]))
-    return both.where(F.when(distinct, F.lit(True)).otherwise(let(places, lambda p: levenshtein(p["a"], p["b"], F.col("_most"))))).select("a", "b")
+    alone = let(F.array_distinct(F.concat(a, b)), lambda w: F.size(w) == F.size(F.array_distinct(narrow(w))))
+    placed = let(F.array_distinct(F.concat(a, b)), lambda d: F.struct(*[_coded(F.transform(w, lambda x: F.array_position(d, x).cast("int"))).alias(s) for s, w in (("a", a), ("b", b))]))
+    coded = F.when(alone, levenshtein(_coded(a), _coded(b))).otherwise(let(placed, lambda p: levenshtein(p["a"], p["b"])))
+    return both.where(F.when(at_once, F.lit(True)).when(missing, coded).otherwise(F.lit(False))).select("a", "b")
 
 
-def _divided(rows: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The rows of large blocks under finer keys: the words that are rarest in the block.
+def _divided(large: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Lines of large blocks under finer keys: the words that are rarest among all such lines.
 
     A line misses as many of another's words as edits are allowed at most: a
     quarter of its own words, if 0.8 of the longer one's have to be the same.
     """
-    own = words.join(small_side(saved(rows.select("node").distinct(), "line-large")), "node", "left_semi").select("node", F.size("words").alias("size"), F.array_distinct("words").alias("words"))
-    each = rows.select("key", "node").join(own, "node").select("key", "node", "size", F.explode("words").alias("part"))
-    first = rarest(each, ["key"], (1 - similarity) / similarity, "line")
-    return first.join(rows, ["key", "node"]).withColumn("key", F.xxhash64("key", "part")).drop("part")
+    nodes = saved(large.drop("key", "main", "rest", "many").distinct(), "line-large")
+    own = words.join(small_side(nodes.select("node")), "node", "left_semi")
+    each = own.select("node", F.size("words").alias("size"), F.explode(F.array_distinct("words")).alias("part"))
+    return rarest(each, [], (1 - similarity) / similarity, "line").join(nodes, "node").withColumnRenamed("part", "key")
 
 
 def candidates(standing: DataFrame) -> DataFrame:
@@ -204,14 +212,15 @@ def candidates(standing: DataFrame) -> DataFrame:
     return rows
 
 
-def _words_of(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """``(node, words, code, n, parity)`` of some occurrences, words by 31 bits of their hashes."""
+def _words_of(docs: DataFrame, text_col: str, nodes: DataFrame, repeated: bool) -> DataFrame:
+    """``(node, words, n, parity)`` of some occurrences, words by 31 bits of their hashes; ``repeated``: some stand in several rows."""
     rows = docs.select("_doc", F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line"))
     own = F.transform(_line_words(F.col("_w")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_WORD)).cast("int"))
     rows = rows.withColumn("place", F.xxhash64("_doc", "_pos").bitwiseAND(F.lit(~_LENGTH)))
     places = nodes.select("node", F.col("node").bitwiseAND(F.lit(~_LENGTH)).alias("place"))
-    found = rows.join(small_side(saved(places, "line-places")), "place").withColumn("_w", _normalised(F.col("_line"))).dropDuplicates(["node"])
-    return saved(found.select("node", own.alias("words")).select("node", "words", _coded(F.col("words")).alias("code"), *_marks(F.col("words"))), "line-words")
+    found = rows.join(small_side(saved(places, "line-places")), "place").withColumn("_w", _normalised(F.col("_line")))
+    found = found.dropDuplicates(["node"]) if repeated else found
+    return saved(found.select("node", own.alias("words")).select("node", "words", *_marks(F.col("words"))), "line-words")
 
 
 def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -219,7 +228,9 @@ def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: floa
     rows = candidates(standing)
     star, many = ends(rows, "line", _fits(similarity))
     wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).unionByName(looked_up(rows, many, ["key"], "many").select("node"))
-    words = _words_of(docs, text_col, saved(wanted.distinct(), "line-wanted"))
+    wanted = saved(wanted.distinct(), "line-wanted")
+    repeated = not standing.join(small_side(wanted), "node", "left_semi").groupBy("node").count().where("count > 1").isEmpty()
+    words = _words_of(docs, text_col, wanted, repeated)
     marks, near = saved(words.select("node", "n", "parity.p", "parity.q"), "line-marks"), _near(similarity)
     sure = saved(_verified(fitting(star, marks, near), words, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
@@ -250,9 +261,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = looked_up(linked, keepers, ["root"], "many").select("line", "root", "times", "keeper")
     repeated = saved(linked.unionByName(single.withColumnRenamed("first", "keeper")), "lines-repeated")
     hits = saved(looked_up(seen.select("_id", "_doc", "_pos", "line"), repeated, ["line"], "times").select("_id", "_doc", "_pos", "root", "keeper"), "lines-hits")
-    keep = hits.where(F.col("_id") == F.col("keeper")).groupBy("root").agg(F.min(F.struct("_doc", "_pos")).alias("k")).select(F.col("k._doc").alias("_doc"), F.col("k._pos").alias("_pos"))
-    gone = hits.select("_doc", "_pos").distinct().join(keep, ["_doc", "_pos"], "left_anti")
-    gone = saved(gone.groupBy("_doc").agg(F.collect_list("_pos").alias("_gone")), "lines-gone")
+    keep = hits.where(F.col("_id") == F.col("keeper")).groupBy("root").agg(F.min(F.struct("_doc", "_pos")).alias("k")).select("root", F.col("k._doc").alias("_keep"), F.col("k._pos").alias("_at"))
+    keep = saved(keep, "lines-keep")
+    gone = hits.join(small_side(keep), "root").where((F.col("_doc") != F.col("_keep")) | (F.col("_pos") != F.col("_at")))
+    gone = saved(gone.groupBy("_doc").agg(F.collect_set("_pos").alias("_gone")), "lines-gone")  # as many as a text has lines
     discard(seen, again, linked, repeated, hits)
     count = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
     out = docs.withColumn("_doc", mark).join(F.broadcast(gone) if count <= 2_000_000 else gone, "_doc", "left").drop("_doc")
