@@ -29,9 +29,9 @@ from .common import table
 
 #: The sample of each language: of the ``SAMPLE_DOCS`` labelled documents whose ids have the lowest hashes, in this
 #: order, each that still fits whole into ``MODEL_CHARS`` symbols. No text is cut.
-SAMPLE_DOCS, MODEL_CHARS = 200, 40_000
+SAMPLE_DOCS, MODEL_CHARS = 200, 30_000
 #: Symbols: padding, space, sixteen digits that spell rare letters, then the commonest letters of the samples.
-PAD, GAP, DIGITS, SYMBOLS = 0, 1, 2, 96
+PAD, GAP, DIGITS, SYMBOLS = 0, 1, 2, 96  # at most; a model has as many as its letters need
 FIRST_LETTER = DIGITS + 16
 SEGMENT, LANES = 256, 32_768
 UNKNOWN = "und"
@@ -49,7 +49,7 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, int]:
+def suffix_automaton(text: np.ndarray, symbols: int) -> np.ndarray:
     """Transitions (a row for each state, -1 for none) of the automaton of all substrings."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
@@ -76,16 +76,16 @@ def suffix_automaton(text: np.ndarray) -> tuple[np.ndarray, int]:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    out = np.full((len(step), SYMBOLS), -1, np.int32)
+    out = np.full((len(step), symbols), -1, np.int32)
     for state, moves in enumerate(step):
         if moves:
             out[state, list(moves)] = list(moves.values())
-    return out, len(text)
+    return out
 
 
-def _table(text: np.ndarray) -> np.ndarray:
+def _table(text: np.ndarray, symbols: int) -> np.ndarray:
     """For each state and symbol: the state after it, with the phrases that end there in the top two bits."""
-    go, _ = suffix_automaton(text)
+    go = suffix_automaton(text, symbols)
     root, none = go[0].copy(), go < 0
     ended = none.astype(np.uint32)  # the phrase so far ends; the symbol begins a new one
     ended[:, root < 0] += 1  # or is one by itself
@@ -103,12 +103,11 @@ class Model:
         for lang, text in sample:
             texts.setdefault(lang, []).append(_codes(text + " "))
         every = np.concatenate([x for part in texts.values() for x in part]) if texts else np.zeros(0, np.uint32)
-        self.letter = _is_letter()
-        seen, counts = np.unique(every[self.letter[every]], return_counts=True)
-        common = seen[np.lexsort((seen, -counts))][: SYMBOLS - FIRST_LETTER]
-        self.symbol = np.where(self.letter, PAD, GAP).astype(np.uint8)  # PAD: a letter to be spelled
-        self.symbol[common] = FIRST_LETTER + np.arange(len(common))
-        self.langs, self.tables, self.bits = [], [], []
+        letter = _is_letter()
+        seen, counts = np.unique(every[letter[every]], return_counts=True)
+        self.common = seen[np.lexsort((seen, -counts))][: SYMBOLS - FIRST_LETTER]
+        self._map()
+        self.samples: dict[str, np.ndarray] = {}
         for lang in sorted(texts):
             taken, room = [], chars
             for text in map(self.reduce, texts[lang]):
@@ -117,9 +116,26 @@ class Model:
                     room -= len(text)
             whole = np.concatenate(taken) if taken else np.zeros(0, np.uint8)
             if len(whole):
-                self.langs.append(lang)
-                self.tables.append(_table(whole))
-                self.bits.append(np.log2(len(whole) + 2))
+                self.samples[lang] = whole
+        self._build()
+
+    def __getstate__(self):
+        return self.common, self.samples  # what is sent are the samples; tables are built where they are used
+
+    def __setstate__(self, state):
+        self.common, self.samples = state
+        self._map()
+        self._build()
+
+    def _map(self) -> None:
+        self.symbol = np.where(_is_letter(), PAD, GAP).astype(np.uint8)  # PAD: a letter to be spelled
+        self.symbol[self.common] = FIRST_LETTER + np.arange(len(self.common))
+        self.width = FIRST_LETTER + len(self.common)
+
+    def _build(self) -> None:
+        self.langs = list(self.samples)
+        self.tables = [_table(text, self.width) for text in self.samples.values()]
+        self.bits = [np.log2(len(text) + 2) for text in self.samples.values()]
 
     def reduce(self, codes: np.ndarray) -> np.ndarray:
         """Symbols of a text, runs of what is no letter being one space and rare letters spelled."""
@@ -156,7 +172,7 @@ class Model:
                 state = np.zeros(block.shape[1], np.uint32)
                 total = ended[first : first + LANES]
                 for row in block:
-                    state *= SYMBOLS
+                    state *= np.uint32(self.width)
                     state += row
                     move = moves.take(state)
                     state = move & 0x3FFFFFFF
