@@ -44,7 +44,7 @@ CUTS = (
     r"[\s\S]+",
 )
 #: Bytes in each of the two generations of a worker's memo, and those that a part takes beside its text and ids.
-MEMO_BYTES, PART_BYTES = 64_000_000, 200
+MEMO_BYTES, PART_BYTES = 40_000_000, 200
 #: Longest part that is merged among many.
 SHORT = 24
 
