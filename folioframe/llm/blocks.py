@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import discard, looked_up, saved, small_side
 
 #: Nodes of a block outside its largest group that are held against all of the block; more of them divide it.
-OPEN = 512
+OPEN = 64
 
 
 def ordered(x: Column | str, y: Column | str) -> list[Column]:
