@@ -83,7 +83,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: Fingerprints, automata and piece merging are not expressible in SQL; tests hold the stages against brute force.
+#: Fingerprints, automata and piece merging are not expressible in SQL; tests hold every stage against a plain version on its own input.
 ORACLE_SQL = None
 
 

@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .enrich import FakeClient, HttpClient
+from .enrich import CONTENTS_ROLE, FakeClient, HttpClient
 from .library import Library
 from .operators import pages as P
 from .operators.search import NOTHING, Filters, report
@@ -78,7 +78,7 @@ def _toc(spark: SparkSession, args, client) -> str:
         toc = raw.select("doc_id").distinct().withColumn("entries", F.from_json(F.lit(json.dumps([{"title": t, "declared_page": p} for t, p in entries])), "array<struct<title:string,declared_page:int>>"))
     else:
         model = args.models[0]
-        toc = P.model_toc(stripped, region, lambda: lambda text: client().generate(model, TOC_ROLE, text))
+        toc = P.model_toc(stripped, region, lambda: lambda text: client().generate(model, CONTENTS_ROLE, text))
     if args.command == "extract-toc":
         return json.dumps([[e["title"], e["declared_page"]] for r in toc.collect() for e in r["entries"]], ensure_ascii=False)
     asked = toc.join(region, "doc_id").select("doc_id", "entries", (F.col("last") + 1).alias("search_from"))
@@ -86,9 +86,6 @@ def _toc(spark: SparkSession, args, client) -> str:
     return "\n".join(f"{r['page_start']}-{r['page_end']}\t{r['title']}" for r in rows)
 
 
-TOC_ROLE = 'List the top-level entries (parts, chapters, appendices) of these contents pages in order, as a JSON array of {"title": text, "declared_page": whole number}. Reply with the array only.'
-
-
 def run(argv: list[str], spark: SparkSession) -> int:
     args = _parser().parse_args(argv)
     library, host = Library(spark, args.library), args.host

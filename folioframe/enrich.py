@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import chunk_prompt, embedding_input, section_prompt
+from .functions.text import REASONING, chunk_prompt, embedding_input, section_prompt
 
 # Retries and waits, sizes of batches and of the model's window, and what models are told.
 ATTEMPTS, FIRST_WAIT_S, LONGEST_WAIT_S = 5, 1.0, 30.0
 EMBED_BATCH, CONTEXT_WINDOW = 16, 16384
 SUMMARY_ROLE = "You summarize one section of a book in two or three plain sentences. Reply with the summary only."
 CONTEXT_ROLE = "You write one or two sentences that place an excerpt within its section, to help retrieval. Reply with the note only."
+CONTENTS_ROLE = 'List the top-level entries (parts, chapters, appendices) of these contents pages in order, as a JSON array of {"title": text, "declared_page": whole number}. Reply with the array only.'
 
 
 class ModelClient(Protocol):
@@ -85,7 +86,7 @@ def same_model(wanted: str, installed: str) -> bool:
 
 
 def strip_reasoning(text: str) -> str:
-    return re.sub("(?is)<think>.*?</think>", "", text).strip()
+    return re.sub(REASONING, "", text).strip()
 
 
 def _generated(rows: DataFrame, key: list[str], prompt: str, client: Callable[[], ModelClient], model: str, role: str, name: str) -> DataFrame:
@@ -101,36 +102,48 @@ def _generated(rows: DataFrame, key: list[str], prompt: str, client: Callable[[]
     return rows.select(*key, prompt).mapInPandas(run, f"{kinds}, {name} string")
 
 
-def summarize(sections: DataFrame, done: DataFrame, client: Callable[[], ModelClient], model: str) -> DataFrame:
-    """``(key, summary)`` for sections that have none."""
-    key = ["book_id", "chapter_index", "section_index"]
-    open_ = sections.join(done.where("summary is not null").select(*key), key, "left_anti")
-    asked = open_.withColumn("_prompt", section_prompt(F.col("title"), F.col("section_index"), F.col("text")))
-    return _generated(asked, key, "_prompt", client, model, SUMMARY_ROLE, "summary")
+SECTION_KEY = ["book_id", "chapter_index", "section_index"]
+CHUNK_KEY = [*SECTION_KEY, "chunk_index"]
 
 
-def contextualize(chunks: DataFrame, summaries: DataFrame, done: DataFrame, client: Callable[[], ModelClient], model: str) -> DataFrame:
-    """``(key, context)`` for chunks that have none."""
-    section, key = ["book_id", "chapter_index", "section_index"], ["book_id", "chapter_index", "section_index", "chunk_index"]
-    open_ = chunks.join(done.select(*key), key, "left_anti").join(summaries.select(*section, "summary"), section, "left")
-    asked = open_.withColumn("_prompt", chunk_prompt(F.col("summary"), F.col("raw_text")))
-    return _generated(asked, key, "_prompt", client, model, CONTEXT_ROLE, "context")
+def unsummarized(sections: DataFrame, done: DataFrame) -> DataFrame:
+    return sections.join(done.where("summary is not null").select(*SECTION_KEY), SECTION_KEY, "left_anti")
 
 
-def embed(chunks: DataFrame, contexts: DataFrame, done: DataFrame, client: Callable[[], ModelClient], model: str, batch_size: int = EMBED_BATCH) -> DataFrame:
-    """``(key, embedding)`` for chunks with a context and no vector, ``batch_size`` texts in a call."""
-    key = ["book_id", "chapter_index", "section_index", "chunk_index"]
-    open_ = chunks.join(contexts.select(*key, "context"), key).join(done.select(*key), key, "left_anti")
-    kinds = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in key)
+def summarize(sections: DataFrame, client: Callable[[], ModelClient], model: str) -> DataFrame:
+    """``(key, summary)`` for each section."""
+    asked = sections.withColumn("_prompt", section_prompt(F.col("title"), F.col("section_index"), F.col("text")))
+    return _generated(asked, SECTION_KEY, "_prompt", client, model, SUMMARY_ROLE, "summary")
+
+
+def uncontextualized(chunks: DataFrame, done: DataFrame) -> DataFrame:
+    return chunks.join(done.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
+
+
+def contextualize(chunks: DataFrame, summaries: DataFrame, client: Callable[[], ModelClient], model: str) -> DataFrame:
+    """``(key, context)`` for each chunk."""
+    known = chunks.join(summaries.select(*SECTION_KEY, "summary"), SECTION_KEY, "left")
+    asked = known.withColumn("_prompt", chunk_prompt(F.col("summary"), F.col("raw_text")))
+    return _generated(asked, CHUNK_KEY, "_prompt", client, model, CONTEXT_ROLE, "context")
+
+
+def unembedded(chunks: DataFrame, contexts: DataFrame, done: DataFrame) -> DataFrame:
+    """Chunks with a context, beside it, and no vector."""
+    return chunks.join(contexts.select(*CHUNK_KEY, "context"), CHUNK_KEY).join(done.select(*CHUNK_KEY), CHUNK_KEY, "left_anti")
+
+
+def embed(chunks: DataFrame, client: Callable[[], ModelClient], model: str, batch_size: int = EMBED_BATCH) -> DataFrame:
+    """``(key, embedding)`` for each chunk with its context, ``batch_size`` texts in a call."""
+    kinds = ", ".join(f"{k} {chunks.schema[k].dataType.simpleString()}" for k in CHUNK_KEY)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = client()
         for batch in batches:
             for at in range(0, len(batch), batch_size):
                 part = batch.iloc[at : at + batch_size]
-                out = part[key].copy()
+                out = part[CHUNK_KEY].copy()
                 out["embedding"] = [[float(x) for x in v] for v in own.embed(model, list(part["_input"]))]
                 yield out
 
-    rows = open_.select(*key, embedding_input(F.col("context"), F.col("raw_text")).alias("_input"))
+    rows = chunks.select(*CHUNK_KEY, embedding_input(F.col("context"), F.col("raw_text")).alias("_input"))
     return rows.mapInPandas(run, f"{kinds}, embedding array<float>")

@@ -1,15 +1,17 @@
 """A library of documents: append-only stage tables under one root, and a manifest that names their live parts.
 
-Every stage takes the rows that the next table lacks, so that an interrupted
-ingest goes on where it stopped. A deletion writes the remaining rows as a new
-part and swaps the manifest.
+Every stage takes the rows that the next table lacks, a bounded share at a
+time, so that an interrupted ingest goes on where it stopped. A deletion writes
+the remaining rows as a new part. Each change is a manifest of the next number;
+readers take the highest one, and of two writers one fails.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ from .operators import status as ST
 from .operators import upserts as U
 from .operators.chunking import CHUNK_TOKENS, OVERLAP_TOKENS, chunk_rows
 from .operators.sections import SECTION_TOKENS, pack
-from .sources.registry import read_binary, reader_for
+from .sources import paged
+from .sources.registry import read_binary, reader_for, source_type, with_sections
 
 SCHEMAS = {
     "books": "book_id long, slug string, name string, content_hash string, page_count int, author string, source_type string, created_at timestamp",
@@ -32,9 +35,12 @@ SCHEMAS = {
     "summaries": "book_id long, chapter_index int, section_index int, summary string",
     "contexts": "book_id long, chapter_index int, section_index int, chunk_index int, context string",
     "vectors": "book_id long, chapter_index int, section_index int, chunk_index int, embedding array<float>",
-    "postings": "book_id long, chapter_index int, section_index int, chunk_index int, term string, tf long",
+    "postings": "book_id long, chapter_index int, section_index int, chunk_index int, term string, tf long, dl long, places array<int>",
+    "totals": "book_id long, n_docs long, total_dl long",
     "toc_cache": "content_hash string, bounds string, version long",
 }
+#: Rows of a stage that become visible at a time; manifests that are kept.
+COMMIT_ROWS, KEPT = 20_000, 20
 SECTION_KEY = ["book_id", "chapter_index", "section_index"]
 CHUNK_KEY = [*SECTION_KEY, "chunk_index"]
 
@@ -48,20 +54,35 @@ class Library:
 
     # The manifest: live parts by table, the next book id, the embedding model.
 
+    def _numbers(self) -> list[int]:
+        """The numbers of the manifests there are, in order."""
+        root = self._path(self.root)
+        if not self._fs.exists(root):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)]
+        return sorted(int(n[9:-5]) for n in names if re.fullmatch(r"manifest-\d+\.json", n))
+
+    def _read(self) -> tuple[int, dict]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {"parts": {}, "next_book_id": 1, "embedding_model": None}
+        return numbers[-1], json.loads(self.spark.read.text(f"{self.root}/manifest-{numbers[-1]}.json", wholetext=True).first()[0])
+
     def manifest(self) -> dict:
-        where = self._path(f"{self.root}/manifest.json")
-        if not self._fs.exists(where):
-            return {"parts": {}, "next_book_id": 1, "embedding_model": None}
-        return json.loads(self.spark.read.text(f"{self.root}/manifest.json", wholetext=True).first()[0])
+        return self._read()[1]
 
-    def _swap(self, manifest: dict) -> None:
+    def _swap(self, number: int, manifest: dict) -> None:
+        """Make ``manifest``, which follows the one of this number, the live one; an error if another writer was first."""
         new = self._path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
         out.write(json.dumps(manifest).encode())
         out.close()
-        live = self._path(f"{self.root}/manifest.json")
-        self._fs.delete(live, False)
-        self._fs.rename(new, live)
+        live = self._path(f"{self.root}/manifest-{number + 1}.json")
+        if self._fs.exists(live) or not self._fs.rename(new, live):  # a rename in a distributed store fails if the name is taken
+            self._fs.delete(new, False)
+            raise RuntimeError(f"another writer changed the library at {self.root}; try again")
+        for old in self._numbers()[:-KEPT]:
+            self._fs.delete(self._path(f"{self.root}/manifest-{old}.json"), False)
 
     def table(self, name: str) -> DataFrame:
         """The live rows of a table; empty if nothing was written yet."""
@@ -70,24 +91,32 @@ class Library:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*parts)
 
+    def _part(self, name: str, rows: DataFrame) -> str:
+        """The path of a new part; nothing reads it until a manifest names it."""
+        path = f"{self.root}/{name}/part-{uuid.uuid4().hex}"
+        names = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        rows = rows.select(*names)
+        if name == "postings":  # so that a scan for some terms reads few row groups
+            rows = rows.repartitionByRange("term", "book_id", "chapter_index").sortWithinPartitions("term")
+        rows.write.parquet(path)
+        return path
+
+    def _commit(self, paths: dict[str, str], replace: bool = False, **changes) -> None:
+        number, manifest = self._read()
+        manifest |= changes
+        for name, path in paths.items():
+            manifest["parts"][name] = [path] if replace else [*manifest["parts"].get(name, []), path]
+        self._swap(number, manifest)
+
     def _write(self, tables: dict[str, DataFrame], replace: bool = False, **changes) -> None:
         """All tables' new parts become visible together."""
-        written = {}
-        for name, rows in tables.items():
-            path = f"{self.root}/{name}/part-{uuid.uuid4().hex}"
-            names = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            rows.select(*names).write.parquet(path)
-            written[name] = path
-        manifest = self.manifest() | changes
-        for name, path in written.items():
-            manifest["parts"][name] = [path] if replace else [*manifest["parts"].get(name, []), path]
-        self._swap(manifest)
+        self._commit({name: self._part(name, rows) for name, rows in tables.items()}, replace, **changes)
 
     def guard(self, model: str) -> None:
         """One embedding model for a library: the first that is used."""
-        manifest = self.manifest()
+        number, manifest = self._read()
         if manifest["embedding_model"] is None:
-            self._swap(manifest | {"embedding_model": model})
+            self._swap(number, manifest | {"embedding_model": model})
         elif manifest["embedding_model"] != model:
             raise ValueError(f"this library holds vectors of {manifest['embedding_model']!r}, not {model!r}")
 
@@ -102,10 +131,26 @@ class Library:
     def ingest_files(self, files: DataFrame, client: Callable[[], enrich.ModelClient], name: str | None = None, force: bool = False, models: tuple[str, str] = ("context", "embedding"), **options) -> list[int]:
         """Rows of the ``binaryFile`` source, as one batch of books; their ids."""
         self.guard(models[1])
-        ids = self.load(read_binary(files), name, force, **options)
+        ids = self.load(read_binary(files, self._contents(files, client, models[0])), name, force, **options)
         self.enrich(client, models)
         return ids
 
+    def _contents(self, files: DataFrame, client: Callable[[], enrich.ModelClient], model: str) -> DataFrame | None:
+        """Chapter bounds for paged books without an outline, from the cache, else from their contents pages by a model; by path."""
+        own = files.where(source_type(F.col("path")) == paged.PDF.source_type)
+        if own.isEmpty():
+            return None
+        hashed = own.select(F.col("path").alias("doc_id"), F.sha2("content", 256).alias("content_hash"))
+        cached = U.latest(self.table("toc_cache"), ["content_hash"], "version").select("content_hash", "bounds")
+        new = hashed.join(cached, "content_hash", "left_anti").select("doc_id")
+        ask = lambda: lambda text: client().generate(model, enrich.CONTENTS_ROLE, text)
+        made = paged.model_contents(own.join(new.withColumnRenamed("doc_id", "path"), "path", "left_semi"), ask)
+        fresh = made.select("content_hash", F.to_json(F.transform("bounds", lambda b: F.array(b["title"], b["page_start"].cast("string"), b["page_end"].cast("string")))).alias("bounds"), F.lit(1).cast("long").alias("version"))
+        self._write({"toc_cache": fresh})
+        known = U.latest(self.table("toc_cache"), ["content_hash"], "version").join(hashed, "content_hash")
+        each = known.select("doc_id", F.posexplode(F.from_json("bounds", "array<array<string>>")).alias("chapter_index", "b"))
+        return each.select("doc_id", "chapter_index", F.get("b", F.lit(0)).alias("title"), F.get("b", F.lit(1)).cast("int").alias("page_start"), F.get("b", F.lit(2)).cast("int").alias("page_end"))
+
     def load(self, paragraphs: DataFrame, name: str | None = None, force: bool = False, section_tokens: int = SECTION_TOKENS, chunk_tokens: int = CHUNK_TOKENS, overlap_tokens: int = OVERLAP_TOKENS) -> list[int]:
         """Paragraph rows as books, chapters, sections and chunks. Equal content adds nothing; other content under a known name is an error unless forced."""
         stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
@@ -129,11 +174,14 @@ class Library:
         new = [r for r in found if r["action"] != "keep"]
         ids = {r["path"]: r["_have"] if r["action"] == "keep" else following + new.index(r) for r in found}
         pairs = self.spark.createDataFrame([(p, i) for p, i in ids.items()], "path string, book_id long")
-        rows = paragraphs.join(F.broadcast(pairs), "path")  # a row for each file
+        rows = with_sections(paragraphs).join(F.broadcast(pairs), "path")  # a row for each file
         chapters = rows.groupBy("book_id", "chapter_index").agg(F.first("chapter_title").alias("title"), F.min("chapter_start").alias("page_start"))
         order = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("loc", "text"))))
         packed = F.when(F.size(order) > 0, pack(order, section_tokens * CHARS_PER_TOKEN)).otherwise(F.array(F.struct(F.lit(0).alias("section_index"), F.lit("").alias("text"), F.min("chapter_start").alias("page_start"))))
-        sections = rows.groupBy("book_id", "chapter_index").agg(packed.alias("_s")).select("book_id", "chapter_index", F.explode("_s").alias("_s")).select("book_id", "chapter_index", "_s.section_index", F.lit(None).cast("string").alias("title"), "_s.text", "_s.page_start")
+        plain, titled = rows.where("section_index is null"), rows.where("section_index is not null")
+        sections = plain.groupBy("book_id", "chapter_index").agg(packed.alias("_s")).select("book_id", "chapter_index", F.explode("_s").alias("_s")).select("book_id", "chapter_index", "_s.section_index", F.lit(None).cast("string").alias("title"), "_s.text", "_s.page_start")
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loc", "text"))), lambda x: x["text"]), "\n\n")
+        sections = sections.unionByName(titled.groupBy(*SECTION_KEY).agg(F.first("section_title").alias("title"), whole.alias("text"), F.min("loc").alias("page_start")))
         chunks = chunk_rows(sections.drop("title"), "text", chunk_tokens, overlap_tokens)
         books = incoming.join(F.broadcast(pairs), "path").withColumn("created_at", F.current_timestamp())
         self._write(
@@ -147,11 +195,40 @@ class Library:
         )
         return [ids[r["path"]] for r in found]
 
-    def enrich(self, client: Callable[[], enrich.ModelClient], models: tuple[str, str] = ("context", "embedding")) -> None:
-        """Summaries, then contexts, then vectors, each for what lacks them. All generation is over before embedding begins."""
-        self._write({"summaries": enrich.summarize(self.table("sections"), self.table("summaries"), client, models[0])})
-        self._write({"contexts": enrich.contextualize(self.table("chunks"), self.table("summaries"), self.table("contexts"), client, models[0])})
-        self._write({"vectors": enrich.embed(self.table("chunks"), self.table("contexts"), self.table("vectors"), client, models[1])})
+    def enrich(self, client: Callable[[], enrich.ModelClient], models: tuple[str, str] = ("context", "embedding"), commit_rows: int = COMMIT_ROWS) -> None:
+        """Summaries, then contexts, then vectors with their postings, each for what lacks them. All generation is over before embedding begins.
+
+        About ``commit_rows`` rows of a stage become visible at a time, so that an
+        interrupted stage loses no more calls than these.
+        """
+        for rows in self._shares(enrich.unsummarized(self.table("sections"), self.table("summaries")), SECTION_KEY, commit_rows):
+            self._write({"summaries": enrich.summarize(rows, client, models[0])})
+        for rows in self._shares(enrich.uncontextualized(self.table("chunks"), self.table("contexts")), CHUNK_KEY, commit_rows):
+            self._write({"contexts": enrich.contextualize(rows, self.table("summaries"), client, models[0])})
+        for rows in self._shares(enrich.unembedded(self.table("chunks"), self.table("contexts"), self.table("vectors")), CHUNK_KEY, commit_rows):
+            vectors = self._part("vectors", enrich.embed(rows, client, models[1]))
+            done = self.spark.read.schema(SCHEMAS["vectors"]).parquet(vectors).select(*CHUNK_KEY)
+            self._commit({"vectors": vectors} | self._postings(rows.join(done, CHUNK_KEY, "left_semi")))
+
+    def _shares(self, open_: DataFrame, key: list[str], commit_rows: int) -> Iterator[DataFrame]:
+        """The open rows in shares by a hash of their keys, of about ``commit_rows`` each."""
+        n = -(-open_.count() // commit_rows)
+        for k in range(n):
+            yield open_.where(F.pmod(F.xxhash64(*key), F.lit(n)) == k) if n > 1 else open_
+
+    def _postings(self, chunks: DataFrame) -> dict[str, str]:
+        """New parts of the keyword index for chunks with their contexts."""
+        keyed = chunks.withColumn("_key", F.struct(*CHUNK_KEY))
+        path = self._part("postings", K.postings(keyed, "_key", "raw_text", "context", places=True).select("key.*", "term", "tf", "dl", "places"))
+        own = K.lengths(keyed, "_key", "raw_text", "context")
+        totals = own.groupBy("key.book_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("dl").alias("total_dl"))
+        return {"postings": path, "totals": self._part("totals", totals)}
+
+    def keyword_index(self) -> K.KeywordIndex:
+        """The stored index over all embedded chunks, by ``search.chunk_key``; a totals row for each book and commit."""
+        found = self.table("postings").select(F.struct(*CHUNK_KEY).alias("key"), "term", "tf", "dl", "places")
+        n = F.sum("n_docs")
+        return K.KeywordIndex(found, self.table("totals").agg(F.coalesce(n, F.lit(0)).alias("n_docs"), (F.sum("total_dl") / F.nullif(n, F.lit(0))).alias("avg_dl")))
 
     def delete(self, slug: str) -> None:
         """A book with everything that belongs to it; its id is not used again."""
@@ -166,10 +243,12 @@ class Library:
         rows = self.chunks().where(F.col("embedding").isNotNull())
         if book_id is not None:
             rows = rows.where(F.col("book_id") == book_id)
-        fresh = K.build_index(rows.withColumn("_key", F.struct(*CHUNK_KEY)), "_key", "raw_text", "context").postings.select("key.*", "term", "tf")
+        fresh = self._postings(rows)
         if book_id is not None:
-            fresh = fresh.unionByName(U.delete_where(self.table("postings"), "book_id", book_id))
-        self._write({"postings": fresh}, replace=True)
+            for name in ("postings", "totals"):
+                new = self.spark.read.schema(SCHEMAS[name]).parquet(fresh[name])
+                fresh[name] = self._part(name, new.unionByName(U.delete_where(self.table(name), "book_id", book_id)))
+        self._commit(fresh, replace=True)
         return rows.count()
 
     def put_toc(self, content_hash: str, bounds: list[tuple[str, int, int]]) -> None:
@@ -179,7 +258,7 @@ class Library:
 
     def get_toc(self, content_hash: str) -> list[tuple[str, int, int]] | None:
         row = U.latest(self.table("toc_cache").where(F.col("content_hash") == content_hash), ["content_hash"], "version").first()
-        return None if row is None else [tuple(x) for x in json.loads(row["bounds"])]
+        return None if row is None else [(t, int(a), int(b)) for t, a, b in json.loads(row["bounds"])]
 
     # Reading.
 
@@ -219,4 +298,4 @@ class Library:
             vectors = client().embed(model, list(questions))
             questions = self.spark.createDataFrame([(i, t, [float(x) for x in v]) for i, (t, v) in enumerate(zip(questions, vectors, strict=True))], "query_id int, text string, vector array<float>")
         rows = S.search_rows(self.table("books"), self.table("chapters"), self.table("sections"), self.chunks())
-        return S.search(rows, questions, mode, filters, top_k, sections=self.table("sections") if expand else None)
+        return S.search(rows, questions, mode, filters, top_k, sections=self.table("sections") if expand else None, index=self.keyword_index())

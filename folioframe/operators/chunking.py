@@ -23,9 +23,10 @@ def pieces(text: Column, max_chars: int) -> Column:
         pattern = mark.replace(".", r"\.")
 
         def cut(x: Column, mark: str = mark, pattern: str = pattern) -> Column:
-            parts = F.split(x, pattern, -1)
-            marked = F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(mark))).otherwise(p))
-            return F.when(F.length(x) <= max_chars, F.array(x)).otherwise(F.filter(marked, lambda p: p != ""))
+            # As a bound variable the split text is there for every part; otherwise each part would split it again.
+            marked = lambda parts: F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, F.lit(mark))).otherwise(p))
+            split = F.get(F.transform(F.array(F.split(x, pattern, -1)), lambda parts: F.filter(marked(parts), lambda p: p != "")), F.lit(0))
+            return F.when(F.length(x) <= max_chars, F.array(x)).otherwise(split)
 
         step = cut
         out = F.flatten(F.transform(out, lambda x: step(x)))  # noqa: B023

@@ -46,12 +46,14 @@ def chunk_key() -> Column:
     return F.struct(*KEY)
 
 
-def search(rows: DataFrame, questions: DataFrame, mode: str = "hybrid", filters: Filters | None = None, top_k: int | None = None, pool: int = POOL, fusion_k: int = FUSION_K, sections: DataFrame | None = None) -> DataFrame:
+def search(rows: DataFrame, questions: DataFrame, mode: str = "hybrid", filters: Filters | None = None, top_k: int | None = None, pool: int = POOL, fusion_k: int = FUSION_K, sections: DataFrame | None = None, index: K.KeywordIndex | None = None, arms: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Ranked, cited excerpts for questions ``(query_id, text, vector)``.
 
-    The index covers all rows; filters apply to both arms after its statistics.
+    ``index`` is the stored keyword index of all rows, by ``chunk_key``; without
+    one the rows are tokenized. Filters apply to both arms after its statistics.
     Keys are ranked first, and texts fetched for the winners alone. With
-    ``sections`` each result carries its section's whole text.
+    ``sections`` each result carries its section's whole text. Further ranked
+    ``arms``, ``(query_id, key, rank)``, are fused with these two.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}, not {mode!r}")
@@ -63,11 +65,12 @@ def search(rows: DataFrame, questions: DataFrame, mode: str = "hybrid", filters:
     if mode == "vector":
         ranked = nearest.where(F.col("rank") <= top_k).select("query_id", "key", "score", "rank")
     else:
-        index = K.build_index(keyed, "_key", "raw_text", "context")
+        if index is None:
+            index = K.build_index(keyed, "_key", "raw_text", "context", places=True)
         scored = K.bm25(index, questions, "query_id", "text")
         if filters is not None:
             scored = scored.join(wanted.select(F.col("_key").alias("key")), "key", "left_semi")
-        ranked = fuse(nearest, K.top(scored, pool), k=fusion_k).where(F.col("rank") <= top_k).select("query_id", "key", "score", "rank")
+        ranked = fuse(nearest, K.top(scored, pool), *arms, k=fusion_k).where(F.col("rank") <= top_k).select("query_id", "key", "score", "rank")
     won = ranked.select("query_id", "rank", "score", *[F.col(f"key.{k}").alias(k) for k in KEY])
     out = won.join(rows.drop("embedding"), list(KEY))
     cols = ["query_id", "rank", "score", *KEY, "book_name", "chapter_title", "section_title", "page_start", "raw_text", "context"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.vectors import cosine
 from .keyword import top
 
-#: Questions in one pass of matrix products.
-BATCH = 1024
+#: Questions in one pass over the rows, and in one matrix product.
+PASS, BATCH = 32_768, 1_024
 
 
 def score_pairs(rows: DataFrame, key: str, vector: str, questions: DataFrame, query_id: str, query_vector: str) -> DataFrame:
@@ -27,14 +28,13 @@ def top_k(rows: DataFrame, key: str, vector: str, questions: DataFrame, query_id
     """The ``k`` rows nearest to each question, with ``rank``.
 
     Each task keeps its own best ``k`` for each question from matrix products
-    over Arrow batches; only those reach the ranking. Questions go out in
-    batches of ``BATCH``, so that a task holds no more of them at once.
+    over Arrow batches; only those reach the ranking. ``PASS`` questions go out
+    with each scan of the rows, and the driver holds no more of them at once.
     """
-    asked = [(r[0], r[1]) for r in questions.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()]
-    kind = rows.schema[key].dataType
-    out = None
-    for start in range(0, max(1, len(asked)), BATCH):
-        found = _nearest(rows, key, vector, asked[start : start + BATCH], questions.schema[query_id].dataType, kind, k)
+    kind, out = rows.schema[key].dataType, None
+    asked = questions.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()
+    while (batch := [(r[0], r[1]) for r in islice(asked, PASS)]) or out is None:
+        found = _nearest(rows, key, vector, batch, questions.schema[query_id].dataType, kind, k)
         out = found if out is None else out.unionByName(found)
     return top(out, k)
 
@@ -57,15 +57,17 @@ def _nearest(rows: DataFrame, key: str, vector: str, asked: list, query_kind, ki
             lists = batch.column(1)
             v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
             with np.errstate(all="ignore"):
-                scores = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ matrix.T
-            ranked = np.where(np.isnan(scores), -np.inf, np.round(scores, 9))
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
             n = min(k, len(v))
-            bar = -np.partition(-ranked, n - 1, axis=0)[n - 1]  # ties at the bar all go on
-            row, query = np.nonzero(ranked >= bar)
-            score = scores[row, query]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[q] for q in query.tolist()], id_type), batch.column(0).take(pa.array(row)), pa.array(score, mask=np.isnan(score))], names=["query_id", "key", "score"]
-            )
+            for start in range(0, len(ids), BATCH):
+                with np.errstate(all="ignore"):
+                    scores = v @ matrix[start : start + BATCH].T
+                ranked = np.where(np.isnan(scores), -np.inf, np.round(scores, 9))
+                bar = -np.partition(-ranked, n - 1, axis=0)[n - 1]  # ties at the bar all go on
+                row, query = np.nonzero(ranked >= bar)
+                score = scores[row, query]
+                named = pa.array([ids[start + q] for q in query.tolist()], id_type)
+                yield pa.RecordBatch.from_arrays([named, batch.column(0).take(pa.array(row)), pa.array(score, mask=np.isnan(score))], names=["query_id", "key", "score"])
 
     schema = f"query_id {query_kind.simpleString()}, key {kind.simpleString()}, score double"
     return rows.select(key, vector).mapInArrow(run, schema)

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import hash_vector
-from ..operators import chunking, fusion, keyword, pages, sections, status, upserts, vector
+from ..operators import chunking, fusion, keyword, pages, search, sections, status, upserts, vector
 from ..operators.search import POOL, TOP_K
 from ..sources.html import html_blocks
+from ..storage import saved
 from . import sql
 
 
-
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,12 +70,12 @@ def vector_pairs_jvm(spark, d):
 
 def tokenize_terms(spark, d):
     (docs,) = _tables(spark, d, "documents")
-    return keyword.build_index(docs, "doc_id", "text").postings.select(F.col("key").alias("doc_id"), "term", "tf")
+    return keyword.postings(docs, "doc_id", "text").select(F.col("key").alias("doc_id"), "term", "tf")
 
 
 def doc_length(spark, d):
     (docs,) = _tables(spark, d, "documents")
-    return keyword.build_index(docs, "doc_id", "text").lengths.select(F.col("key").alias("doc_id"), "dl")
+    return keyword.lengths(docs, "doc_id", "text").select(F.col("key").alias("doc_id"), "dl")
 
 
 def term_df(spark, d):
@@ -88,8 +88,13 @@ def corpus_stats(spark, d):
     return keyword.build_index(docs, "doc_id", "text").stats.select("n_docs", F.round("avg_dl", 6).alias("avg_dl"))
 
 
+def _indexed(rows, *texts):
+    """An index whose postings are stored, as a library's are: texts are tokenized once."""
+    return keyword.build_index(rows, "doc_id", *texts, keep=lambda p: saved(p, "postings"))
+
+
 def _bm25(docs, bm):
-    return keyword.bm25(keyword.build_index(docs, "doc_id", "text"), bm, "item_id", "text")
+    return keyword.bm25(_indexed(docs, "text"), bm, "item_id", "text")
 
 
 def bm25_topk(spark, d):
@@ -105,7 +110,7 @@ def bm25_topk_filtered(spark, d):
 
 def bm25_two_fields(spark, d):
     docs, bm = _tables(spark, d, "documents", "benchmark")
-    index = keyword.build_index(docs.withColumn("context", F.concat_ws(" ", "lang", "source")), "doc_id", "text", "context")
+    index = _indexed(docs.withColumn("context", F.concat_ws(" ", "lang", "source")), "text", "context")
     asked = bm.withColumn("q", F.concat(F.col("text"), F.lit(" src7 de")))
     return _ranked(keyword.top(keyword.bm25(index, asked, "item_id", "q"), TOP_K))
 
@@ -141,8 +146,9 @@ def rrf_single_arm(spark, d):
 def rrf_three_arms(spark, d):
     rows, near, words = _arms(spark, d)
     asked = near.select("query_id").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "key")
-    newest = rows.select(F.col("doc_id").alias("key"), "n_chars").join(F.broadcast(asked)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= POOL)
+    longest = rows.select(F.col("doc_id").alias("key"), "n_chars").orderBy(F.col("n_chars").desc(), "key").limit(POOL)  # the same for every question
+    longest = longest.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n_chars").desc(), "key")))
+    newest = asked.join(F.broadcast(longest))  # POOL rows
     return _fused(fusion.fuse(near, words, newest), TOP_K)
 
 
@@ -162,6 +168,41 @@ def hybrid_expand(spark, d):
     return won.join(first, "doc_id", "left").select("query_id", "doc_id", "rank", "section_text")
 
 
+# The library's search, with documents as chunks.
+
+
+def _found(spark, d, **options):
+    docs, emb, bm = _tables(spark, d, "documents", "embeddings", "benchmark")
+    zero = F.lit(0)
+    rows = _embedded(docs, emb).select(
+        *[zero.alias(k) for k in ("book_id", "chapter_index", "section_index")], F.col("doc_id").alias("chunk_index"), F.col("source").alias("book_name"), F.col("lang").alias("chapter_title"),
+        F.lit(None).cast("string").alias("section_title"), F.col("doc_id").alias("page_start"), F.col("text").alias("raw_text"), F.lit(None).cast("string").alias("context"), "embedding", F.col("lang").alias("author"),
+    )
+    asked = bm.select(F.col("item_id").alias("query_id"), "text").join(_asked_vectors(emb, bm), "query_id", "left")
+    index = keyword.build_index(rows.withColumn("_key", search.chunk_key()), "_key", "raw_text", "context", places=True, keep=lambda p: saved(p, "postings"))
+    return search.search(rows, asked, index=index, **options)
+
+
+def _excerpts(found: DataFrame) -> DataFrame:
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"), F.col("chunk_index").alias("doc_id"), "book_name", "chapter_title", "raw_text")
+
+
+def library_search(spark, d):
+    return _excerpts(_found(spark, d))
+
+
+def library_search_vector(spark, d):
+    return _excerpts(_found(spark, d, mode="vector"))
+
+
+def library_search_filtered(spark, d):
+    return _excerpts(_found(spark, d, filters=search.Filters(author="en")))
+
+
+def library_report(spark, d):
+    return search.report(_found(spark, d))
+
+
 # Splitting and sections.
 
 
@@ -303,8 +344,9 @@ def stage_batch(spark, d):
 def identity_resolution(spark, d):
     docs = _table(spark, d, "documents")
     named = docs.select("doc_id", F.concat("source", F.lit("-"), (F.col("doc_id") % 500).cast("string")).alias("slug"), F.sha2("text", 256).alias("content_hash"))
-    have = named.where("doc_id < 500").select("slug", "content_hash")
-    return upserts.resolve_identity(have, named.where("doc_id >= 500")).select("doc_id", "slug", "action")
+    have = named.join(_table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi")  # what is labelled is known already
+    have = have.groupBy("slug").agg(F.min("content_hash").alias("content_hash"))
+    return upserts.resolve_identity(have, named).select("doc_id", "slug", "action")
 
 
 def idempotent_load(spark, d):
@@ -315,7 +357,7 @@ def idempotent_load(spark, d):
 def upsert_keep_summary(spark, d):
     docs, labels = _tables(spark, d, "documents", "labels")
     old = labels.groupBy("doc_id").agg(F.max("quality").cast("string").alias("summary")).withColumn("title", F.lit("old"))
-    new = docs.where("doc_id % 2 = 0").select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("source").alias("title"))
+    new = docs.select("doc_id", F.lit(None).cast("string").alias("summary"), F.col("source").alias("title"))
     return upserts.upsert_keeping(old, new, ["doc_id"], ["summary"])
 
 
@@ -377,6 +419,7 @@ QUERIES = {
     for f in (
         vector_topk, vector_batch_topk, vector_topk_filtered, vector_pairs_jvm, tokenize_terms, doc_length, term_df, corpus_stats,
         bm25_topk, bm25_topk_filtered, bm25_two_fields, rrf_hybrid, rrf_single_arm, rrf_three_arms, hybrid_cited, hybrid_expand,
+        library_search, library_search_vector, library_search_filtered, library_report,
         chunk_documents, chunk_overlap_small, chunk_stats, pack_sections, sections_in_chapter, running_chapters, chapter_bounds,
         slugify_names, section_titles, approx_tokens, query_terms, content_hash, fake_embedding, clean_pages, toc_line_density, prompts,
         library_status, status_totals, book_listing, outline_nested, search_rows, pending_work, stage_batch, identity_resolution,

@@ -68,6 +68,17 @@ def _fused(arms: list[str]) -> str:
     s AS (SELECT *, {score} AS score FROM g), won AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, {order}, doc_id) AS rank FROM s QUALIFY rank <= 5)"""
 
 
+def _found(where: str = "true", arms: tuple[str, ...] = ("v", "k")) -> str:
+    """Common table expressions up to ``hit``: fused results with what is shown of them."""
+    named = f"""d0 AS ({_ROWS}), vf AS (SELECT * FROM v0 WHERE doc_id IN (SELECT doc_id FROM d0 WHERE {where})), bf AS (SELECT * FROM bm WHERE doc_id IN (SELECT doc_id FROM d0 WHERE {where})),
+    v AS ({_top("vf", 50)}), k AS ({_top("bf", 50)})"""
+    base = _ARMS.replace(f", k AS ({_top('bm', 50)})", "").replace(f", v AS ({_top('v0', 50)})", "")
+    won = _fused(list(arms)) if len(arms) > 1 else "won AS (SELECT * FROM v WHERE rank <= 5)"
+    return f"{base}, {named}, {won}, hit AS (SELECT query_id, rank, score, doc_id, source AS book_name, lang AS chapter_title, text AS raw_text FROM won JOIN d USING (doc_id))"
+
+
+_ENGLISH = "lang = 'en'"
+_HITS = "SELECT query_id, rank, round(score, 9) AS score, doc_id, book_name, chapter_title, raw_text FROM hit"
 _WON = "SELECT query_id, doc_id, rank, round(score, 9) AS score FROM won"
 
 
@@ -123,6 +134,11 @@ def statements() -> dict[str, str]:
         "rrf_three_arms": f"WITH {_ARMS}, n AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS rank FROM d, (SELECT DISTINCT query_id FROM v) QUALIFY rank <= 50), {_fused(['v', 'k', 'n'])} {_WON}",
         "hybrid_cited": f"WITH {_ARMS}, {_fused(['v', 'k'])} SELECT query_id, rank, '[' || source || ' -- ' || lang || ', p.' || doc_id || '] (rank=' || rank || ')' || chr(10) || text AS citation FROM won JOIN d USING (doc_id)",
         "hybrid_expand": f"WITH {_ARMS}, {_fused(['v', 'k'])} SELECT query_id, doc_id, rank, c.section_text FROM won LEFT JOIN (SELECT conv_id, min(text) AS section_text FROM conversations WHERE turn = 0 GROUP BY 1) c ON c.conv_id = doc_id",
+        "library_search": f"WITH {_found()} {_HITS}",
+        "library_search_vector": f"WITH {_found(arms=('v',))} {_HITS}",
+        "library_search_filtered": f"WITH {_found(_ENGLISH)} {_HITS}",
+        "library_report": f"""WITH {_found()} SELECT query_id, string_agg('[' || book_name || ' -- ' || chapter_title || ', p.' || doc_id || '] (score=' || printf('%.3f', score) || ')' || chr(10) || raw_text,
+            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS report FROM hit GROUP BY query_id""",
         "chunk_documents": _chunks(600, 80),
         "chunk_overlap_small": _chunks(40, 8),
         "chunk_stats": f"SELECT doc_id, count(*) AS n_chunks, max(length(raw_text)) AS longest, CAST(sum(length(raw_text)) AS BIGINT) AS total FROM ({_chunks(600, 80)}) GROUP BY doc_id",
@@ -142,7 +158,7 @@ def statements() -> dict[str, str]:
         "toc_line_density": rf"""SELECT doc_id, round(coalesce(len(list_filter(ln, lambda x: regexp_matches(x, '^.{{3,}}?[^0-9][\s.…]+[0-9]{{1,4}}\s*$'))) / nullif(len(ln), 0), 0), 9) AS density,
             len(list_filter(ln, lambda x: regexp_matches(x, '(?i)^\s*(?:table of contents|contents)\s*$'))) > 0 AS has_header,
             len(list_filter(ln, lambda x: regexp_matches(x, '(?i)^\s*(?:part\s+[ivxlcdm0-9]+|chapter\s+[0-9]+|appendix\s+[a-z])\b'))) AS top_level FROM (SELECT doc_id, {_LINES} AS ln FROM documents)""",
-        "prompts": "SELECT d.doc_id, 'Section summary: ' || coalesce('quality ' || q, '(no summary available)') || chr(10) || chr(10) || 'Excerpt:' || chr(10) || text || chr(10) || chr(10) || 'Write the short context note for this excerpt.' AS prompt FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)",
+        "prompts": "SELECT d.doc_id, 'The section in short: ' || coalesce('quality ' || q, '(no summary available)') || chr(10) || chr(10) || 'Passage:' || chr(10) || text || chr(10) || chr(10) || 'Say where in the section this passage stands.' AS prompt FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)",
         "library_status": f"SELECT source, {_COUNTS} FROM ({_STATES}) GROUP BY source",
         "status_totals": f"SELECT {_COUNTS} FROM ({_STATES})",
         "book_listing": "SELECT source, count(*) AS n_chapters, count(DISTINCT lang) AS n_langs, CAST(sum(n_chars) AS BIGINT) AS n_chars, min(doc_id) AS first_id FROM documents GROUP BY source",
@@ -150,12 +166,13 @@ def statements() -> dict[str, str]:
         "search_rows": f"SELECT doc_id, source, lang, chapter_title FROM ({_ROWS}) JOIN (SELECT conv_id, min(role) AS chapter_title FROM conversations WHERE turn = 0 GROUP BY 1) ON conv_id = doc_id",
         "pending_work": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
         "stage_batch": f"SELECT doc_id, source, status FROM ({_STATES}) WHERE status = 'pending' ORDER BY doc_id LIMIT 16",
-        "identity_resolution": """WITH n AS (SELECT doc_id, source || '-' || (doc_id % 500) AS slug, sha256(text) AS h FROM documents)
-            SELECT b.doc_id, b.slug, CASE WHEN a.h IS NULL THEN 'insert' WHEN a.h = b.h THEN 'keep' ELSE 'conflict' END AS action FROM (SELECT * FROM n WHERE doc_id >= 500) b LEFT JOIN (SELECT * FROM n WHERE doc_id < 500) a USING (slug)""",
+        "identity_resolution": """WITH n AS (SELECT doc_id, source || '-' || (doc_id % 500) AS slug, sha256(text) AS h FROM documents),
+            a AS (SELECT slug, min(h) AS h FROM n WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY slug)
+            SELECT n.doc_id, n.slug, CASE WHEN a.h IS NULL THEN 'insert' WHEN a.h = n.h THEN 'keep' ELSE 'conflict' END AS action FROM n LEFT JOIN a USING (slug)""",
         "idempotent_load": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
         "upsert_keep_summary": """WITH o AS (SELECT doc_id, CAST(max(quality) AS VARCHAR) AS summary FROM labels GROUP BY 1)
-            SELECT d.doc_id, o.summary, d.source AS title FROM documents d LEFT JOIN o USING (doc_id) WHERE d.doc_id % 2 = 0
-            UNION ALL SELECT doc_id, summary, 'old' FROM o WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)""",
+            SELECT d.doc_id, o.summary, d.source AS title FROM documents d LEFT JOIN o USING (doc_id)
+            UNION ALL SELECT doc_id, summary, 'old' FROM o WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
         "latest_wins": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
         "delete_book": "SELECT doc_id, source FROM documents WHERE source <> 'src4' OR source IS NULL",
         "reindex": f"WITH p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_terms('text')}) AS term FROM ({_ROWS})) GROUP BY ALL) SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens FROM p GROUP BY doc_id",

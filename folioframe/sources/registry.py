@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 #: one for each paragraph in order, ``text`` null for a chapter without any.
 PARAGRAPHS = "path string, content_hash string, title string, author string, source_type string, chapter_index int, chapter_title string, chapter_start long, loc long, text string"
 
+#: Columns that a reader may add, for files whose sections are known: rows of one section share them.
+SECTIONED = "section_index int, section_title string"
+
+
+def with_sections(rows: DataFrame) -> DataFrame:
+    """Paragraph rows with the columns of known sections, null where a reader has none."""
+    wanted = [c.split() for c in SECTIONED.split(", ")]
+    return rows.withColumns({name: F.lit(None).cast(kind) for name, kind in wanted if name not in rows.columns})
+
 
 class SourceReader(Protocol):
     """A reader of one kind of file; new kinds are added with ``register``."""
@@ -65,9 +74,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return read_binary(files)
 
 
-def read_binary(files: DataFrame) -> DataFrame:
+def read_binary(files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """Paragraph rows of files; ``contents`` has chapter bounds that are known for paged books, by path."""
     typed = files.withColumn("_type", source_type(F.col("path")))
-    parts = [r.read(typed.where(F.col("_type") == r.source_type).drop("_type")) for r in readers()]
+    own = lambda r: typed.where(F.col("_type") == r.source_type).drop("_type")
+    parts = [with_sections(r.read(own(r), contents) if getattr(r, "takes_contents", False) else r.read(own(r))) for r in readers()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -77,5 +88,3 @@ def read_binary(files: DataFrame) -> DataFrame:
 def identity(content: Column) -> Column:
     """SHA-256 of a file's bytes."""
     return F.sha2(content, 256)
-
-
