@@ -207,7 +207,7 @@ def candidates(standing: DataFrame) -> DataFrame:
     """``(key, node)`` of the blocks that more than one line has; ``standing`` has ``(node, blocks)``."""
     keyed = standing.select("node", F.explode("blocks").alias("key"))
     shared = saved(keyed.groupBy("key").count().where("count > 1").select("key"), "line-shared")
-    rows = saved(keyed.join(small_side(shared, 2_000_000), "key", "left_semi").select("key", "node").distinct(), "line-rows")
+    rows = saved(keyed.join(small_side(shared, 1_000_000), "key", "left_semi").select("key", "node").distinct(), "line-rows")
     discard(shared)
     return rows
 
