@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import saved, shared_dir  # noqa: F401  the operators take them from here
+
 #: The white space of the word definition; a word is a run of anything else.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -36,25 +37,6 @@ def shingle_hashes(hashes: Column, size: int) -> Column:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from the session; a local one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def saved(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options or {}).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_path = path
-    return out
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
     for df in tables:
