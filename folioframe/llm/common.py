@@ -46,8 +46,8 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Rows of a few numbers each that may be broadcast: about 16 MB; several such tables live at once.
-BROADCAST_ROWS = 250_000
+#: Rows of a few numbers each that may be broadcast: about 32 to 64 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
