@@ -11,19 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.vectors import cosine
+from ..functions.vectors import norm
 from .keyword import top
 
 #: Questions in one pass over the rows, and in one matrix product.
 PASS, BATCH = 32_768, 1_024
 
 
-def score_pairs(rows: DataFrame, key: str, vector: str, questions: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """``(query_id, key, score)`` of every row for every question, within the JVM; the questions are the small side."""
-    asked = questions.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("_q"))
-    return rows.select(F.col(key).alias("key"), F.col(vector).alias("_v")).join(F.broadcast(asked)).select("query_id", "key", cosine(F.col("_v"), F.col("_q")).alias("score"))
-
-
 def top_k(rows: DataFrame, key: str, vector: str, questions: DataFrame, query_id: str, query_vector: str, k: int) -> DataFrame:
     """The ``k`` rows nearest to each question, with ``rank``.
 
@@ -39,6 +33,22 @@ def top_k(rows: DataFrame, key: str, vector: str, questions: DataFrame, query_id
     return top(out, k)
 
 
+def top_pairs(rows: DataFrame, key: str, vector: str, questions: DataFrame, query_id: str, query_vector: str, k: int) -> DataFrame:
+    """The best ``k`` of all pairs of each question, as SQL ranks them: ``top_k`` with the rows that have no cosine (no vector, or a zero one) last, by key.
+
+    Rows are dealt to all cores first, for a file of one row group is one task
+    and the work grows with rows times questions.
+    """
+    known = lambda df, x: F.coalesce(norm(df[x]) > 0, F.lit(False))
+    cores = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    found = top_k(rows.where(known(rows, vector)).select(key, vector).repartition(cores), key, vector, questions.where(known(questions, query_vector)), query_id, query_vector, k)
+    found = found.select("query_id", "key", "score")
+    for side, of in ((rows.where(~known(rows, vector)), known(questions, query_vector)), (rows, ~known(questions, query_vector))):
+        last = side.select(F.col(key).alias("key")).orderBy("key").limit(k)
+        found = found.unionByName(questions.where(of).select(F.col(query_id).alias("query_id")).join(F.broadcast(last)).withColumn("score", F.lit(None).cast("double")))
+    return top(found, k)
+
+
 def _nearest(rows: DataFrame, key: str, vector: str, asked: list, query_kind, kind, k: int) -> DataFrame:
     ids = [a[0] for a in asked]
     matrix = np.array([a[1] for a in asked], np.float64).reshape(len(asked), -1)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.functions.vectors import cosine
 from folioframe.operators import chunking, fusion, keyword, pages, sections, status, upserts, vector
+from folioframe.plans import catalog
 
 
 def _value(spark, column):
@@ -48,6 +49,19 @@ def test_vectors(spark):
     assert vector.top_k(rows.limit(0), "k", "v", asked, "q", "v", 3).count() == 0
 
 
+def test_pairs_are_all_ranked_and_leave_the_jvm(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, 1.0]), (4, [2.0, 0.0]), (5, [0.0, 0.0])], "k int, v array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 0.0]), (9, None)], "q int, v array<float>")
+    found = vector.top_pairs(rows, "k", "v", asked, "q", "v", 5)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.key, None if r.score is None else round(r.score, 6)))
+    none = [(k, None) for k in range(5)]
+    assert got == {7: [(0, 1.0), (4, 1.0), (3, 0.707107), (1, None), (2, None)], 8: none, 9: none}
+    plan = catalog.queries()["vector_pairs_jvm"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan  # products of matrices; a comparison of pairs in the JVM took 23 s for 10,256 rows
+
+
 def test_bm25_equals_sqlite(spark):
     import sqlite3
 
