@@ -140,7 +140,10 @@ def _most(n_a: Column, n_b: Column, similarity: float) -> Column:
 
 
 def _marks(words: Column) -> list[Column]:
-    """``n`` and two longs of the parity of the words, by 7 bits of their hashes: an edit changes two of the 128 bits at most."""
+    """``n`` and twice two longs: the parity of the words, by 7 bits of their hashes, and that of the pairs of neighbours.
+
+    An edit changes two of the 128 bits of words at most, and four of those of pairs.
+    """
     zero = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
 
     def flipped(s: Column, w: Column) -> Column:
@@ -148,16 +151,18 @@ def _marks(words: Column) -> list[Column]:
         low = w.bitwiseAND(F.lit(64)) == 0
         return F.struct(F.when(low, s["p"].bitwiseXOR(bit)).otherwise(s["p"]).alias("p"), F.when(low, s["q"]).otherwise(s["q"].bitwiseXOR(bit)).alias("q"))
 
-    return [F.size(words).alias("n"), F.aggregate(words, zero, flipped).alias("parity")]
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda x, y: F.shiftright(x, 7).bitwiseXOR(y))
+    return [F.size(words).alias("n"), F.aggregate(words, zero, flipped).alias("parity"), F.aggregate(pairs, zero, flipped).alias("order")]
 
 
 def _near(similarity: float):
-    """Whether lengths and parities of two lines allow the similarity; no link is lost."""
+    """Whether lengths and parities of two lines allow the similarity; no link is lost. Words in another order fail by their pairs."""
 
     def compared(left, right) -> Column:
         most = _most(left("n"), right("n"), similarity)
         flips = F.bit_count(left("p").bitwiseXOR(right("p"))) + F.bit_count(left("q").bitwiseXOR(right("q")))
-        return (F.abs(left("n") - right("n")) <= most) & (flips <= most * 2)
+        turns = F.bit_count(left("r").bitwiseXOR(right("r"))) + F.bit_count(left("s").bitwiseXOR(right("s")))
+        return (F.abs(left("n") - right("n")) <= most) & (flips <= most * 2) & (turns <= most * 4)
 
     return compared
 
@@ -213,7 +218,7 @@ def candidates(standing: DataFrame) -> DataFrame:
 
 
 def _words_of(docs: DataFrame, text_col: str, nodes: DataFrame, repeated: bool) -> DataFrame:
-    """``(node, words, n, parity)`` of some occurrences, words by 31 bits of their hashes; ``repeated``: some stand in several rows."""
+    """``(node, words, n, parity, order)`` of some occurrences, words by 31 bits of their hashes; ``repeated``: some stand in several rows."""
     rows = docs.select("_doc", F.posexplode(F.split(text_col, "\n", -1)).alias("_pos", "_line"))
     own = F.transform(_line_words(F.col("_w")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_WORD)).cast("int"))
     rows = rows.withColumn("place", F.xxhash64("_doc", "_pos").bitwiseAND(F.lit(~_LENGTH)))
@@ -231,7 +236,7 @@ def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: floa
     wanted = saved(wanted.distinct(), "line-wanted")
     repeated = not standing.join(small_side(wanted), "node", "left_semi").groupBy("node").count().where("count > 1").isEmpty()
     words = _words_of(docs, text_col, wanted, repeated)
-    marks, near = saved(words.select("node", "n", "parity.p", "parity.q"), "line-marks"), _near(similarity)
+    marks, near = saved(words.select("node", "n", "parity.p", "parity.q", F.col("order.p").alias("r"), F.col("order.q").alias("s")), "line-marks"), _near(similarity)
     sure = saved(_verified(fitting(star, marks, near), words, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
     more = crossing(rows, roots, marks, near, lambda large: _divided(large, words, similarity), "line", OPEN)

@@ -1,6 +1,7 @@
 """Every operator and stage over nulls, empty and long texts, copies, repeated rows, clashing columns, and empty tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioframe.llm import catalog
@@ -69,3 +70,28 @@ def test_stages(spark, folder, request, tmp_path):
     assert ids["near_dedup"].count(100) <= 1 and 0 in ids["near_dedup"] and len(ids["near_dedup"]) < len(ids["line_dedup"])
     assert max(map(ids["mix_sources"].count, ids["mix_sources"])) <= 3
     assert docs.where("decoded like 'x%'").count() == 0 and sorted(map(str, ids["encode"])) == sorted(map(str, ids["mix_sources"]))
+
+
+def test_lines_of_the_same_words_in_another_order_are_no_candidates(spark):
+    import random
+
+    from folioframe.llm import lines
+
+    draw, rows = random.Random(7), []
+    for k in range(300):
+        a = [draw.getrandbits(31) for _ in range(draw.randint(5, 60))]
+        b = list(a)
+        for _ in range(len(a) // 5):  # as many edits as 0.8 allows, of any kind
+            at, kind = draw.randrange(len(b)), draw.randrange(3)
+            b[at : at + (kind != 0)] = [draw.getrandbits(31)] * (kind != 1)
+        allowed = max(len(a), len(b)) // 5 >= len(a) // 5
+        rows.append((k, a, b, allowed))
+        rows.append((1000 + k, a, draw.sample(a, len(a)), None))
+    marked = spark.createDataFrame(rows, "k int, a array<int>, b array<int>, alike boolean")
+    for side in "ab":
+        n, parity, order = lines._marks(F.col(side))
+        marked = marked.withColumns({f"{side}_n": n, f"{side}_parity": parity, f"{side}_order": order})
+    named = {"n": "n", "p": "parity.p", "q": "parity.q", "r": "order.p", "s": "order.q"}
+    fits = lines._near(0.8)(lambda c: F.col(f"a_{named[c]}"), lambda c: F.col(f"b_{named[c]}"))
+    got = marked.select("k", "alike", fits.alias("fits")).collect()
+    assert all(r.fits for r in got if r.alike) and sum(r.fits for r in got if r.k >= 1000) < 30
