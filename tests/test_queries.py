@@ -34,6 +34,11 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_search_for_more_words_than_are_listed(spark, con, monkeypatch):
+    monkeypatch.setattr(catalog.keyword, "LISTED", 1)
+    assert compare(spark, con, SF, catalog.queries()["bm25_topk"], catalog.oracle_sql()["bm25_topk"]) is None
+
+
 def test_searches_with_compound_words(spark, tmp_path):
     """Questions with underscores, marks and superscripts, which are several terms or none of their own in the index."""
     odd = ["der_die und_oder", "the_{0} a", "x\u00b2 {0}_{0}", "e\u0301t\u0301e {0}", "__ _", ""]
