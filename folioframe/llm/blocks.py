@@ -60,11 +60,12 @@ def pairs(rows: DataFrame, fits: Fits | None = None, main: bool = False) -> Data
     return a.join(b, "key").where(met).select(*ordered("node_x", "node_y"))
 
 
-def crossing(rows: DataFrame, roots: DataFrame, marks: DataFrame, fits: Fits, divided: Callable[[DataFrame], DataFrame], name: str, limit: int) -> DataFrame:
+def crossing(rows: DataFrame, roots: DataFrame, marks: DataFrame, fits: Fits, divided: Callable[[DataFrame], DataFrame], name: str, limit: int, close: Fits | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of one block that ``roots``, ``(node, root)``, does not connect, and whose ``marks``, ``(node, ...)``, fit.
 
     ``divided`` gets the ``(key, node, root, ...)`` of blocks with more than
-    ``limit`` nodes outside the largest group, and returns them under finer keys.
+    ``limit`` nodes outside the largest group, and returns them under finer keys;
+    by their columns ``close`` says whether two of these fit, else ``fits`` does.
     """
     named = saved(rows.join(small_side(roots.select("node", "root")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), f"{name}-keys")
     of = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -74,7 +75,7 @@ def crossing(rows: DataFrame, roots: DataFrame, marks: DataFrame, fits: Fits, di
     out = pairs(apart.where(F.col("rest") <= limit), fits, True)
     large = apart.where(F.col("rest") > limit)
     if not large.isEmpty():
-        out = out.unionByName(pairs(divided(large), fits))
+        out = out.unionByName(pairs(divided(large), close or fits))
     out = saved(out.distinct(), f"{name}-cross")
     discard(named, per, apart)
     return out

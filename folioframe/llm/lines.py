@@ -15,7 +15,12 @@ have parts of two words.
 Within a block all lines are held against its two ends, and then only against
 those that these links have not connected with them. If that leaves many, the
 block is divided by the words that are rarest in it: lines that are alike share
-one of the rarest quarter of their words (prefix filtering, which loses none).
+one of the first quarter of their words, whatever order all lines have in common
+(prefix filtering, which loses none). Repeated words of a line are numbered; the
+order is by counts of a sample of the lines, so that the sample decides how many
+lines meet, not which are linked. A pair meets at its first common word alone,
+and stays a pair if neither line misses more of the other's words than edits are
+allowed.
 Links of lines whose edit similarity reaches ``SIMILARITY`` join them into
 groups; a group keeps the occurrence of the smallest document id, the first
 one there.
@@ -36,7 +41,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import OPEN, crossing, ends, fitting, rarest
+from .blocks import OPEN, crossing, ends, fitting
 from .common import discard, let, looked_up, saved, small_side, table
 from .components import components
 
@@ -46,6 +51,8 @@ TOP, PAIRED, PAIRED_TOP = 11, 12, 8
 _WORD, _LENGTH = 0x7FFFFFFF, 1023
 #: Hashes are not worth encoding or compressing.
 RANDOM = {"parquet.enable.dictionary": "false", "compression": "none"}
+#: Lines whose words are counted for the common order of divided blocks, the places that count them, and repeats of a word that are told apart.
+SAMPLE, PLACES, REPEATS = 512, 1 << 14, 8
 #: Code points that a word can stand for in Levenshtein.
 _PLANE = 1 << 20
 
@@ -196,16 +203,47 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     return both.where(F.when(at_once, F.lit(True)).when(missing, coded).otherwise(F.lit(False))).select("a", "b")
 
 
+def _numbered(words: Column) -> Column:
+    """The words of a line, each with the number of equal ones before it, by 32 bits of a hash; an edit changes one of them."""
+    again = lambda s, x, i: sum((F.get(s, i - k).eqNullSafe(x).cast("int") for k in range(1, REPEATS)), F.lit(0))
+    return F.array_distinct(let(F.sort_array(words), lambda s: F.transform(s, lambda x, i: F.hash(x, again(s, x, i)))))
+
+
+def _place(part: Column) -> Column:
+    return F.pmod(part, F.lit(PLACES))
+
+
 def _divided(large: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Lines of large blocks under finer keys: the words that are rarest among all such lines.
+    """Lines of large blocks under finer keys: the first of their words, those that are rare among such lines first.
 
     A line misses as many of another's words as edits are allowed at most: a
     quarter of its own words, if 0.8 of the longer one's have to be the same.
     """
     nodes = saved(large.drop("key", "main", "rest", "many").distinct(), "line-large")
-    own = words.join(small_side(nodes.select("node")), "node", "left_semi")
-    each = own.select("node", F.size("words").alias("size"), F.explode(F.array_distinct("words")).alias("part"))
-    return rarest(each, [], (1 - similarity) / similarity, "line").join(nodes, "node").withColumnRenamed("part", "key")
+    own = saved(words.join(small_side(nodes.select("node")), "node", "left_semi").select("node", _numbered(F.col("words")).alias("parts")), "line-numbered")
+    some = own.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select(F.explode("parts").alias("part"))
+    counted = {r.place: r["count"] for r in some.groupBy(_place(F.col("part")).alias("place")).count().collect()}  # PLACES rows at most
+    counts = ",".join(str(counted.get(k, 0)) for k in range(PLACES))
+    order = own.sparkSession.range(1).select(F.split(F.lit(counts), ",").cast("array<int>").alias("counts"))
+    told = own.crossJoin(F.broadcast(order))
+    ranked = F.sort_array(F.transform("parts", lambda x: F.struct(F.get("counts", _place(x)).alias("c"), x.alias("x"))))
+    told = told.select("node", F.transform(ranked, lambda y: y["x"]).alias("parts")).join(nodes, "node")
+    first = F.slice("parts", F.lit(1), (F.floor(F.col("n") * ((1 - similarity) / similarity) + 1e-9) + 1).cast("int"))
+    rows = told.withColumn("first", first)
+    return saved(rows.withColumn("key", F.explode("first")).withColumn("at", F.col("key")), "line-divided")
+
+
+def _close(similarity: float):
+    """Whether lines of divided blocks can be alike; a pair counts where it meets first."""
+    near = _near(similarity)
+
+    def compared(left, right) -> Column:
+        most = _most(left("n"), right("n"), similarity)
+        meet = F.get(F.array_intersect(left("first"), right("first")), F.lit(0)) == left("at")
+        missing = (F.size(F.array_except(left("parts"), right("parts"))) <= most) & (F.size(F.array_except(right("parts"), left("parts"))) <= most)
+        return near(left, right) & meet & missing
+
+    return compared
 
 
 def candidates(standing: DataFrame) -> DataFrame:
@@ -239,7 +277,7 @@ def groups(docs: DataFrame, standing: DataFrame, text_col: str, similarity: floa
     marks, near = saved(words.select("node", "n", "parity.p", "parity.q", F.col("order.p").alias("r"), F.col("order.q").alias("s")), "line-marks"), _near(similarity)
     sure = saved(_verified(fitting(star, marks, near), words, similarity), "line-sure")
     roots = saved(components(sure, "a", "b"), "line-roots")
-    more = crossing(rows, roots, marks, near, lambda large: _divided(large, words, similarity), "line", OPEN)
+    more = crossing(rows, roots, marks, near, lambda large: _divided(large, words, similarity), "line", OPEN, _close(similarity))
     more = saved(_verified(more, words, similarity), "line-more")
     if not more.isEmpty():  # from the groups there are
         roots = saved(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "line-roots")

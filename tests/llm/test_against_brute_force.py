@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioframe.llm import catalog, components, cotraining, extraction, language, lines, mixing, pieces, quality_rules, resemblance, simhash, sketch, url_rules
+from folioframe.llm import blocks, catalog, components, cotraining, extraction, language, lines, mixing, pieces, quality_rules, resemblance, simhash, sketch, url_rules
 from folioframe.llm.common import tokenizer_path
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -542,6 +542,37 @@ def test_fuzzy_lines(spark, monkeypatch, large):
     assert [k for k in range(len(texts)) if got[k] != want[k]] == []
 
 
+def test_lines_of_much_the_same_words_meet_once(spark, monkeypatch):
+    """Lines of a large block that share most words, but in another order: only such as can be alike leave the join, each pair once."""
+    rng, made, real = random.Random(11), [], blocks.pairs
+
+    def counted(rows, fits=None, main=False):
+        out = real(rows, fits, main)
+        made.extend([] if main else [out.count()])
+        return out
+
+    monkeypatch.setattr(blocks, "pairs", counted)
+    base, voc = [f"w{k % 60}" for k in range(77)], [f"x{k}" for k in range(200)]
+    texts = []
+    for _ in range(150):
+        line = [rng.choice(voc) if rng.random() < 0.2 else w for w in base]
+        texts.append(rng.sample(line, len(line)) + [c * 28 for c in "pqr"])
+    for k in range(10):
+        texts.append(texts[k][:40] + ["other"] * 8 + texts[k][48:])  # as many edits as two lines of 80 words may have are 16
+        texts.append(texts[k][:20] + ["else"] * 8 + texts[k][28:])
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in lines.deduplicated(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == _deduplicated_lines(texts)
+    assert made and sum(made) <= 2 * len(texts)
+
+
+def test_numbered_words(spark):
+    rows = spark.createDataFrame([([5, 7, 5, 5],), ([5, 5, 7],), ([7],), ([],), ([3] * 40,)], "w array<int>").select(lines._numbered(F.col("w")).alias("n")).collect()
+    a, b, c, d, e = (set(r.n) for r in rows)
+    assert len(a) == 4 and b < a and c < b and not d and len(e) == lines.REPEATS
+
+
 def test_line_recall_on_tables(spark):
     """Of the lines that brute force would remove from a table, over 0.98 go, and no other."""
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id")
